@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,27 +53,27 @@ def _nearest_workday(holiday: Column) -> Column:
     )
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous integer computus."""
-    y = year.cast("int")
+def _good_friday_text(year: int) -> str:
+    """Good Friday of a year as MM-DD, two days before Gregorian Easter (integer computus)."""
+    golden = year % 19
+    century, rest = divmod(year, 100)
+    moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
+    shift = (32 + 2 * (century % 4) + 2 * (rest // 4) - moon - rest % 4) % 7
+    total = moon + shift - 7 * ((golden + 11 * moon + 22 * shift) // 451) + 114
+    easter = date(year, total // 31, total % 31 + 1)
+    return (easter - timedelta(days=2)).strftime("%m-%d")
 
-    def div(a: Column, b: int) -> Column:
-        return F.floor(a / b).cast("int")
 
-    a = F.pmod(y, F.lit(19))
-    century = div(y, 100)
-    rest = F.pmod(y, F.lit(100))
-    h = F.pmod(
-        19 * a + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15,
-        F.lit(30),
-    )
-    weekday = F.pmod(
-        32 + 2 * F.pmod(century, F.lit(4)) + 2 * div(rest, 4) - h - F.pmod(rest, F.lit(4)),
-        F.lit(7),
+FIRST_YEAR, LAST_YEAR = 1970, 2199
+
+
+def good_friday(year: Column) -> Column:
+    """Looked up in a per-year table built by rule; null outside 1970-2199."""
+    table = F.split(
+        F.lit(",".join(_good_friday_text(y) for y in range(FIRST_YEAR, LAST_YEAR + 1))), ","
     )
-    m = div(a + 11 * h + 22 * weekday, 451)
-    total = h + weekday - 7 * m + 114
-    return F.make_date(y, div(total, 31), F.pmod(total, F.lit(31)) + 1)
+    text = F.get(table, year - FIRST_YEAR)
+    return F.to_date(F.concat_ws("-", F.when(text.isNotNull(), year), text))
 
 
 def thanksgiving(day: Column) -> Column:
@@ -93,7 +93,7 @@ def is_holiday(day: Column) -> Column:
         observed_new_year,
         _nth(day, 1, 0, 3),
         _nth(day, 2, 0, 3),
-        F.date_sub(easter_sunday(year), 2),
+        good_friday(year),
         _last(day, 5, 0),
         F.when(year >= 2022, juneteenth),
         _nearest_workday(fixed(year, F.lit(7), F.lit(4))),
