@@ -13,6 +13,11 @@ def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     )
 
 
+def clip_known(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """Clip a value that is never null (a null would become `low`)."""
+    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+
+
 def finite(value: Column) -> Column:
     """The value as double, with NaN and infinities turned into null."""
     number = value.cast("double")

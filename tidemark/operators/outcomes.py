@@ -267,7 +267,7 @@ def reference_returns(
         F.col("baseline_at"),
         F.explode(F.array(*[F.lit(int(m)) for m in offsets])).alias("minutes"),
     ).withColumn(
-        "__due", F.timestamp_micros(F.unix_micros("baseline_at") + F.col("minutes") * 60_000_000)
+        "__due", F.timestamp_micros(F.unix_micros("baseline_at") + F.col("minutes").cast("long") * 60_000_000)
     )
     found = asof_join(
         marks,

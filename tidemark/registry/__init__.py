@@ -5,6 +5,7 @@ from tidemark.registry.core import ORACLES, QUERIES
 from tidemark.registry import (  # noqa: F401  (imported for registration)
     markets,
     prices,
+    selection,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

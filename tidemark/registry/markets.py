@@ -81,7 +81,7 @@ WITH firsts AS (
   FROM plans p JOIN bars b ON p.symbol = b.symbol AND p.session = b.session
    AND b.start_us >= p.valid_us GROUP BY ALL),
 marks AS (
-  SELECT f.*, m AS minutes, valid_us + m * 60000000 AS due
+  SELECT f.*, m AS minutes, valid_us + m::BIGINT * 60000000 AS due
   FROM firsts f CROSS JOIN (SELECT unnest([5, 15, 30, 60, 240]) AS m))
 SELECT m.snapshot_id, m.minutes, b.start_us AS bar_us,
        round((b.close - m.base) / m.base, 8) AS reference_return
@@ -579,7 +579,7 @@ def _phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "phase_metrics",
     """SELECT symbol, session, phase, CAST(active_minutes AS BIGINT) AS active_minutes,
-       round(dollar_volume, 2) AS dollar_volume, round(return_pct, 8) AS return_pct,
+       round(dollar_volume, 4) AS dollar_volume, round(return_pct, 8) AS return_pct,
        round(gap_pct, 8) AS gap_pct, round(range_pct, 8) AS range_pct,
        round(volatility, 8) AS volatility, CAST(volume AS BIGINT) AS volume FROM phase_rows""",
     "phase_rows",
@@ -587,7 +587,7 @@ def _phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _phase_metrics(spark, folder).select(
         "symbol", day_text("session_date").alias("session"), "phase", "active_minutes",
-        F.round("dollar_volume", 2).alias("dollar_volume"),
+        F.round("dollar_volume", 4).alias("dollar_volume"),
         *[F.round(c, 8).alias(c) for c in ("return_pct", "gap_pct", "range_pct", "volatility")],
         "volume",
     )
