@@ -3,6 +3,7 @@
 from tidemark.registry.core import ORACLES, QUERIES
 
 from tidemark.registry import (  # noqa: F401  (imported for registration)
+    evidence,
     markets,
     prices,
     selection,
