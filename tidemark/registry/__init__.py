@@ -7,6 +7,7 @@ from tidemark.registry import (  # noqa: F401  (imported for registration)
     markets,
     prices,
     selection,
+    studies,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
