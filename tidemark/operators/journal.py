@@ -20,6 +20,7 @@ def ledger_audit(
     starting_cash: float = STARTING_CASH,
     *,
     account: str = "account",
+    order_tie: Sequence[str] = (),
     segmentation: Segmentation | None = None,
 ) -> DataFrame:
     """Running cash and position after every fill, with rule violations flagged.
@@ -37,7 +38,7 @@ def ledger_audit(
         }
     )
     segmentation = segmentation or Segmentation.for_input(frame)
-    series = KeyedSeries(frame, [account], ["__us", "sequence"], segmentation)
+    series = KeyedSeries(frame, [account], ["__us", "sequence", *order_tie], segmentation)
     series.accumulate(sums={"__cash": F.col("__flow"), "position": F.col("__signed")})
     before_cash = F.lit(float(starting_cash)) + F.col("__cash") - F.col("__flow")
     before_position = F.col("position") - F.col("__signed")

@@ -44,3 +44,13 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     """
     others = [name for name in df.columns if name not in names]
     return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
+def shared_folder(spark) -> str:
+    """A fresh folder under the cluster's checkpoint folder (a local one in tests)."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from tidemark.registry import (  # noqa: F401  (imported for registration)
     prices,
     selection,
     studies,
+    trading,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

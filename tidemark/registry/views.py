@@ -52,8 +52,7 @@ sql_view(
 )
 
 
-def ticks(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+def ticks(events: DataFrame) -> DataFrame:
     received = micros("ts")
     second = F.floor(F.pmod(received, F.lit(43_200_000_000)) / 1_000_000)
     return events.select(
@@ -85,7 +84,11 @@ def _sides(df: DataFrame) -> DataFrame:
 
 def quotes_dense(spark: SparkSession, folder: str) -> DataFrame:
     """Five busy symbols, one per event type."""
-    return _sides(ticks(spark, folder)).withColumn("symbol", F.col("event_type"))
+    return dense_from_events(table(spark, folder, "events"))
+
+
+def dense_from_events(events: DataFrame) -> DataFrame:
+    return _sides(ticks(events)).withColumn("symbol", F.col("event_type"))
 
 
 sql_view(
@@ -110,7 +113,7 @@ sql_view(
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse quotes per user with every kind of quality problem."""
-    df = _sides(ticks(spark, folder))
+    df = _sides(ticks(table(spark, folder, "events")))
     event = F.col("event_id")
     return df.withColumns(
         {
