@@ -27,101 +27,82 @@ def exchange_date(at: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(at, EXCHANGE_ZONE))
 
 
-def _weekday(day: Column) -> Column:
-    """Monday = 0 ... Sunday = 6."""
-    return F.weekday(day)
-
-
-def _nth(day: Column, month: int, weekday: int, n: int) -> Column:
-    """n-th given weekday of a month in the year of `day`."""
-    first = F.make_date(F.year(day), F.lit(month), F.lit(1))
-    shift = F.pmod(F.lit(weekday) - _weekday(first), F.lit(7))
-    return F.date_add(first, shift + 7 * (n - 1))
+FIRST_YEAR, LAST_YEAR = 1970, 2199
 
 
-def _last(day: Column, month: int, weekday: int) -> Column:
-    end = F.last_day(F.make_date(F.year(day), F.lit(month), F.lit(1)))
-    return F.date_sub(end, F.pmod(_weekday(end) - weekday, F.lit(7)))
+def _nth(year: int, month: int, weekday: int, n: int) -> date:
+    """n-th Monday (0) ... Sunday (6) of a month; n = -1 is the last one."""
+    if n > 0:
+        first = date(year, month, 1)
+        return first + timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
+    last = date(year, month + 1, 1) - timedelta(days=1)
+    return last - timedelta(days=(last.weekday() - weekday) % 7)
 
 
-def _nearest_workday(holiday: Column) -> Column:
-    weekday = _weekday(holiday)
-    return (
-        F.when(weekday == 5, F.date_sub(holiday, 1))
-        .when(weekday == 6, F.date_add(holiday, 1))
-        .otherwise(holiday)
-    )
+def _nearest_workday(day: date) -> date:
+    return day + timedelta(days={5: -1, 6: 1}.get(day.weekday(), 0))
 
 
-def _good_friday_text(year: int) -> str:
-    """Good Friday of a year as MM-DD, two days before Gregorian Easter (integer computus)."""
+def _good_friday(year: int) -> date:
+    """Two days before Gregorian Easter (integer computus)."""
     golden = year % 19
     century, rest = divmod(year, 100)
     moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
     shift = (32 + 2 * (century % 4) + 2 * (rest // 4) - moon - rest % 4) % 7
     total = moon + shift - 7 * ((golden + 11 * moon + 22 * shift) // 451) + 114
-    easter = date(year, total // 31, total % 31 + 1)
-    return (easter - timedelta(days=2)).strftime("%m-%d")
-
-
-FIRST_YEAR, LAST_YEAR = 1970, 2199
-
-
-def good_friday(year: Column) -> Column:
-    """Looked up in a per-year table built by rule; null outside 1970-2199."""
-    table = F.split(
-        F.lit(",".join(_good_friday_text(y) for y in range(FIRST_YEAR, LAST_YEAR + 1))), ","
+    return date(year, total // 31, total % 31 + 1) - timedelta(days=2)
+
+
+def holidays(year: int) -> list[date]:
+    """Full-day closures of a year."""
+    new_year = date(year, 1, 1)
+    days = [
+        new_year + timedelta(days=1) if new_year.weekday() == 6 else new_year,
+        _nth(year, 1, 0, 3),
+        _nth(year, 2, 0, 3),
+        _good_friday(year),
+        _nth(year, 5, 0, -1),
+        _nearest_workday(date(year, 7, 4)),
+        _nth(year, 9, 0, 1),
+        _nth(year, 11, 3, 4),
+        _nearest_workday(date(year, 12, 25)),
+    ]
+    if year >= 2022:
+        days.append(_nearest_workday(date(year, 6, 19)))
+    days.extend(d for d in map(date.fromisoformat, EXTRA_CLOSURES) if d.year == year)
+    return days
+
+
+def early_closes(year: int) -> list[date]:
+    """Weekdays that end at the early close."""
+    days = [_nth(year, 11, 3, 4) + timedelta(days=1)]
+    if date(year, 7, 4).weekday() in (1, 2, 3, 4):
+        days.append(date(year, 7, 3))
+    if date(year, 12, 24).weekday() < 5:
+        days.append(date(year, 12, 24))
+    return days
+
+
+def _in_year_table(day: Column, rule) -> Column:
+    """Is the date in its year's list? One constant table, built by rule for 1970-2199."""
+    lists = ";".join(
+        ",".join(sorted(d.strftime("%m-%d") for d in rule(year)))
+        for year in range(FIRST_YEAR, LAST_YEAR + 1)
     )
-    text = F.get(table, year - FIRST_YEAR)
-    return F.to_date(F.concat_ws("-", F.when(text.isNotNull(), year), text))
-
-
-def thanksgiving(day: Column) -> Column:
-    return _nth(day, 11, 3, 4)
+    of_year = F.get(F.split(F.lit(lists), ";"), F.year(day) - FIRST_YEAR)
+    return F.coalesce(F.contains(of_year, F.date_format(day, "MM-dd")), F.lit(False))
 
 
 def is_holiday(day: Column) -> Column:
-    """Full-day closures for the date's own year (and the following New Year's Day)."""
-    fixed = F.make_date
-    year = F.year(day)
-    new_year = fixed(year, F.lit(1), F.lit(1))
-    observed_new_year = F.when(
-        _weekday(new_year) == 6, F.date_add(new_year, 1)
-    ).otherwise(new_year)
-    juneteenth = _nearest_workday(fixed(year, F.lit(6), F.lit(19)))
-    rules = [
-        observed_new_year,
-        _nth(day, 1, 0, 3),
-        _nth(day, 2, 0, 3),
-        good_friday(year),
-        _last(day, 5, 0),
-        F.when(year >= 2022, juneteenth),
-        _nearest_workday(fixed(year, F.lit(7), F.lit(4))),
-        _nth(day, 9, 0, 1),
-        thanksgiving(day),
-        _nearest_workday(fixed(year, F.lit(12), F.lit(25))),
-        *[F.lit(value).cast("date") for value in EXTRA_CLOSURES],
-    ]
-    closed = F.lit(False)
-    for rule in rules:
-        closed = closed | F.coalesce(day == rule, F.lit(False))
-    return closed
+    return _in_year_table(day, holidays)
 
 
 def is_session(day: Column) -> Column:
-    return (_weekday(day) < 5) & ~is_holiday(day)
+    return (F.weekday(day) < 5) & ~is_holiday(day)
 
 
 def is_early_close(day: Column) -> Column:
-    fourth = F.make_date(F.year(day), F.lit(7), F.lit(4))
-    july_third = (
-        (F.month(day) == 7)
-        & (F.dayofmonth(day) == 3)
-        & (_weekday(day) < 5)
-        & _weekday(fourth).between(1, 4)
-    )
-    christmas_eve = (F.month(day) == 12) & (F.dayofmonth(day) == 24) & (_weekday(day) < 5)
-    return july_third | (day == F.date_add(thanksgiving(day), 1)) | christmas_eve
+    return _in_year_table(day, early_closes)
 
 
 def bound(day: Column, clock: str) -> Column:

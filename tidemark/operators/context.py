@@ -19,7 +19,7 @@ from tidemark.functions.text import (
     headline_direction,
     normalized_symbols,
 )
-from tidemark.operators.scaling import settle
+from tidemark.operators.scaling import reliable_checkpoint, settle
 
 # Fixed values ------------------------------------------------------------------------
 CONTEXT_FEATURE_VERSION = "context-v1"
@@ -127,14 +127,15 @@ def known_records(
     other = body.filter(F.col("kind") != "news").select(
         *CONTENT_KEY, F.explode_outer("symbols").alias("symbol"), *_BODY
     )
-    seen = associations.filter(
-        (F.col("received_at") <= cutoff) & (F.col("source_at") <= cutoff)
+    # One item has at most one row per symbol, so its window is bounded by the symbols.
+    item = Window.partitionBy(*CONTENT_KEY)
+    links = (
+        associations.filter((F.col("received_at") <= cutoff) & (F.col("source_at") <= cutoff))
+        .withColumn("__global", F.max((F.col("symbol") == GLOBAL).cast("int")).over(item))
+        .filter((F.col("__global") == 0) | (F.col("symbol") == GLOBAL))
+        .withColumn("symbol", F.nullif("symbol", F.lit(GLOBAL)))
+        .drop("__global")
     )
-    everyone = seen.filter(F.col("symbol") == GLOBAL)
-    named = seen.filter(F.col("symbol") != GLOBAL).join(
-        everyone.select(*CONTENT_KEY), CONTENT_KEY, "left_anti"
-    )
-    links = everyone.withColumn("symbol", F.lit(None).cast("string")).unionByName(named)
     news = (
         body.filter(F.col("kind") == "news")
         .drop("source_at", "received_at", "symbols")
@@ -351,7 +352,10 @@ def context_scores(
         F.col("external_id").alias("d"), F.col("__score").alias("score"),
     )
     cap = F.when(F.col("kind") == "social", SOCIAL_CAP).otherwise(EVENT_CAP)
-    lean = scored.select("kind", "symbol", "__score", "__family", item.alias("__item"))
+    # The scored items are read four times below; they are small next to the records.
+    lean = reliable_checkpoint(
+        scored.select("kind", "symbol", "__score", "__family", item.alias("__item"))
+    )
 
     def newest(frame: DataFrame, group: list[str], name: str) -> DataFrame:
         w = Window.partitionBy(*group).orderBy(F.col("__item").desc())

@@ -36,7 +36,7 @@ def phase_metrics(bars: DataFrame) -> DataFrame:
     """Metrics per (symbol, session, phase) from valid minute bars.
 
     One bar per start is required, so a (symbol, session, phase) window holds at most the
-    minutes of one phase. `previous_close`, if present on the bars, gives the gap.
+    minutes of one phase. The gap needs another session's close; see `with_gap`.
     """
     frame = bars.withColumn("phase", session_phase(F.col("start"))).filter("phase IS NOT NULL")
     w = Window.partitionBy(*KEY, "phase").orderBy("start")
@@ -52,23 +52,11 @@ def phase_metrics(bars: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_pop("__ret"), F.lit(0.0)).alias("volatility"),
         F.min("start").alias("first_observed_at"),
         F.max("start").alias("last_observed_at"),
-        *(
-            [F.max("previous_close").alias("previous_close")]
-            if "previous_close" in bars.columns
-            else []
-        ),
     )
     return out.withColumns(
         {
             "return_pct": F.col("last_close") / F.col("first_open") - 1,
             "range_pct": F.col("high") / F.col("low") - 1,
-            "gap_pct": (
-                F.when(
-                    F.col("phase") == PRE_MARKET, F.col("last_close") / F.col("previous_close") - 1
-                )
-                if "previous_close" in bars.columns
-                else F.lit(None).cast("double")
-            ),
         }
     )
 
@@ -82,45 +70,82 @@ def regular_close(bars: DataFrame) -> DataFrame:
     )
 
 
-def with_previous_close(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Attach the previous trading session's regular close to every bar."""
-    closes = regular_close(bars).select(
+def with_gap(metrics: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Add the pre-market gap against the previous session's last regular close."""
+    closes = metrics.filter(F.col("phase") == REGULAR).select(
         "symbol",
         F.col("session_date").alias("previous_session"),
-        F.col("regular_close").alias("previous_close"),
+        F.col("last_close").alias("previous_close"),
     )
     sessions = calendar.select(F.col("session").alias("session_date"), "previous_session")
     return (
-        bars.join(sessions, "session_date")
+        metrics.join(sessions, "session_date")
         .join(closes, ["symbol", "previous_session"], "left")
+        .withColumn(
+            "gap_pct",
+            F.when(
+                F.col("phase") == PRE_MARKET, F.col("last_close") / F.col("previous_close") - 1
+            ),
+        )
         .drop("previous_session")
     )
 
 
 _METRICS = [
-    "active_minutes", "dollar_volume", "return_pct", "gap_pct", "range_pct", "volatility",
-    "high", "low", "volume", "first_observed_at", "last_observed_at",
+    "active_minutes", "dollar_volume", "return_pct", "range_pct", "volatility", "high", "low",
+    "volume", "first_observed_at", "last_observed_at", "last_close",
 ]
 
 
 def session_evidence(metrics: DataFrame, calendar: DataFrame) -> DataFrame:
     """Today's pre-market next to the previous session's post-market, per symbol.
 
-    The post-market session always precedes the decision session, so no row can see its
-    own after-hours trading.
+    Each phase row is sent to the session that may use it: pre-market to its own session,
+    regular close and post-market to the next one. One aggregation then gathers a session's
+    evidence, without joining the metrics to themselves, and no row can reach its own
+    session's decision with its own after-hours trading.
     """
-    value = F.struct(*_METRICS)
-    pre = metrics.filter(
-        (F.col("phase") == PRE_MARKET) & F.col("gap_pct").isNotNull()
-    ).select(*KEY, value.alias("premarket"))
-    post = metrics.filter(F.col("phase") == POST_MARKET).select(
-        "symbol", F.col("session_date").alias("previous_session"), value.alias("postmarket")
+    sessions = calendar.select(
+        F.col("session").alias("session_date"), "previous_session", "next_session"
     )
-    sessions = calendar.select(F.col("session").alias("session_date"), "previous_session")
-    keys = metrics.select(*KEY).distinct().join(sessions, "session_date")
+    own = F.struct(F.col("session_date").alias("day"), F.lit(True).alias("own"))
+    later = F.struct(F.col("next_session").alias("day"), F.lit(False).alias("own"))
+    sent = (
+        metrics.join(sessions.drop("previous_session"), "session_date")
+        .select(
+            "symbol",
+            "phase",
+            F.struct(*_METRICS).alias("m"),
+            F.inline(
+                F.when(F.col("phase") == PRE_MARKET, F.array(own)).otherwise(F.array(own, later))
+            ),
+        )
+        .filter(F.col("day").isNotNull())
+    )
+
+    def only(phase: str, is_own: bool) -> Column:
+        return F.max(F.when((F.col("phase") == phase) & (F.col("own") == is_own), F.col("m")))
+
+    gathered = (
+        sent.groupBy("symbol", F.col("day").alias("session_date"))
+        .agg(
+            F.bool_or("own").alias("__own"),
+            only(PRE_MARKET, True).alias("__pre"),
+            only(REGULAR, False).alias("__regular"),
+            only(POST_MARKET, False).alias("postmarket"),
+        )
+        .filter("__own")
+        .join(sessions.drop("next_session"), "session_date")
+    )
+    gap = F.col("__pre.last_close") / F.col("__regular.last_close") - 1
     return (
-        keys.join(pre, KEY, "left")
-        .join(post, ["symbol", "previous_session"], "left")
+        gathered.withColumn(
+            "premarket",
+            F.when(
+                F.col("__pre").isNotNull() & gap.isNotNull(),
+                F.col("__pre").withField("gap_pct", gap),
+            ),
+        )
         .select(*KEY, "previous_session", "premarket", "postmarket")
         .withColumns(
             {
@@ -164,52 +189,46 @@ def extended_scores(evidence: DataFrame) -> DataFrame:
     missing phase counts 0.5.
     """
 
-    def long(phase: str, metrics: list[str]) -> DataFrame:
+    def cells_of(phase: str, metrics: list[str]) -> Column:
         cells = F.array(
             *[
                 F.struct(
+                    F.lit(phase).alias("phase"),
                     F.lit(f"{phase}.{name}").alias("metric"),
                     F.col(f"{phase}.{name}").cast("double").alias("value"),
                 )
                 for name in metrics
             ]
         )
-        return evidence.filter(F.col(phase).isNotNull()).select(
-            *KEY, F.lit(phase).alias("phase"), F.explode(cells).alias("cell")
-        ).select(*KEY, "phase", "cell.metric", "cell.value")
+        return F.filter(cells, lambda cell: cell["value"].isNotNull())
 
-    cells = long("premarket", [*SCORED_METRICS, "gap_pct"]).unionByName(
-        long("postmarket", list(SCORED_METRICS))
+    every = F.concat(
+        cells_of("premarket", [*SCORED_METRICS, "gap_pct"]),
+        cells_of("postmarket", list(SCORED_METRICS)),
     )
+    # inline_outer keeps a row for keys without any evidence.
+    cells = evidence.select(*KEY, F.inline_outer(every))
     group = ["session_date", "metric"]
     ranks = dense_position(cells, group, "value")
-    place = F.col("dense_rank") / F.col("distinct_values_less_one")
+    place = F.col("dense_rank") / (F.col("distinct_values") - 1)
     inverted = F.substring_index("metric", ".", -1).isin(*LOWER_IS_BETTER)
-    scored = (
-        cells.join(ranks, [*group, "value"])
-        .withColumn("distinct_values_less_one", F.col("distinct_values") - 1)
-        .withColumn(
-            "score",
-            F.when(F.col("distinct_values") == 1, F.lit(0.5))
-            .when(inverted, 1 - place)
-            .otherwise(place),
-        )
-        .groupBy(*KEY)
-        .agg(
-            F.avg(F.when(F.col("phase") == "premarket", F.col("score"))).alias("__pre"),
-            F.avg(F.when(F.col("phase") == "postmarket", F.col("score"))).alias("__post"),
-        )
+    score = (
+        F.when(F.col("distinct_values") == 1, F.lit(0.5))
+        .when(inverted, 1 - place)
+        .otherwise(place)
     )
+    scored = cells.join(ranks, [*group, "value"], "left").withColumn("score", score)
     half = F.lit(0.5)
-    return (
-        evidence.select(*KEY)
-        .join(scored, KEY, "left")
-        .select(
-            *KEY,
-            F.coalesce("__pre", half).alias("premarket_score"),
-            F.coalesce("__post", half).alias("postmarket_score"),
-            ((F.coalesce("__pre", half) + F.coalesce("__post", half)) / 2).alias("extended_score"),
-        )
+    by_phase = scored.groupBy(*KEY).agg(
+        F.coalesce(F.avg(F.when(F.col("phase") == "premarket", F.col("score"))), half).alias(
+            "premarket_score"
+        ),
+        F.coalesce(F.avg(F.when(F.col("phase") == "postmarket", F.col("score"))), half).alias(
+            "postmarket_score"
+        ),
+    )
+    return by_phase.withColumn(
+        "extended_score", (F.col("premarket_score") + F.col("postmarket_score")) / 2
     )
 
 

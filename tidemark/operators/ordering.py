@@ -142,8 +142,14 @@ def dense_position(
 ) -> DataFrame:
     """Distinct values per group with their 0-based rank and the number of distinct values."""
     distinct = df.select(*group, value).filter(F.col(value).isNotNull()).distinct()
+    if bounded is None:
+        bounded = estimated_bytes(df) <= WINDOW_BYTES
     ranked = position(distinct, group, [F.col(value).asc()], name="__r", bounded=bounded)
-    sizes = distinct.groupBy(*group).agg(F.count("*").alias("distinct_values"))
-    return ranked.join(sizes, list(group)).select(
-        *group, value, (F.col("__r") - 1).alias("dense_rank"), "distinct_values"
-    )
+    if bounded:
+        sized = ranked.withColumn(
+            "distinct_values", F.count("*").over(Window.partitionBy(*group))
+        )
+    else:
+        sizes = ranked.groupBy(*group).agg(F.max("__r").cast("long").alias("distinct_values"))
+        sized = ranked.join(sizes, list(group))
+    return sized.select(*group, value, (F.col("__r") - 1).alias("dense_rank"), "distinct_values")

@@ -69,7 +69,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         F.get(F.array(*[F.lit(k) for k in ("news", "filing", "macro", "social")]), (key % 4).cast("int")).alias("kind"),
         F.when(key % 5 == 0, "gdelt").otherwise(F.col("source")).alias("provider"),
         F.concat(F.lit("doc:"), (key - key % 12).cast("string")).alias("external_id"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         minutes(key).alias("source_at"),
         minutes(key + key % 30).alias("received_at"),
         F.when(key % 7 == 0, F.array().cast("array<string>"))

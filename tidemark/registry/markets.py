@@ -571,8 +571,8 @@ sql_view(
 
 
 def _phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return extended.phase_metrics(
-        extended.with_previous_close(bars(spark, folder), sessions(spark))
+    return extended.phase_metrics(bars(spark, folder)).join(
+        sessions(spark).select(F.col("session").alias("session_date")), "session_date", "left_semi"
     )
 
 
@@ -585,7 +585,8 @@ def _phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
     "phase_rows",
 )
 def phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return _phase_metrics(spark, folder).select(
+    metrics = extended.with_gap(_phase_metrics(spark, folder), sessions(spark))
+    return metrics.select(
         "symbol", day_text("session_date").alias("session"), "phase", "active_minutes",
         F.round("dollar_volume", 4).alias("dollar_volume"),
         *[F.round(c, 8).alias(c) for c in ("return_pct", "gap_pct", "range_pct", "volatility")],

@@ -473,7 +473,7 @@ def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query("walk_forward_model")
 def walk_forward_model(spark: SparkSession, folder: str) -> DataFrame:
     """Validation and holdout metrics of the logistic baseline per fold."""
-    scored = model.walk_forward_predictions(_folds(spark, folder))
+    scored = model.walk_forward_predictions(_folds(spark, folder), WINDOWS)
     return model.binary_metrics(scored, ["fold", "part"])
 
 
