@@ -30,71 +30,52 @@ def exchange_date(at: Column) -> Column:
 FIRST_YEAR, LAST_YEAR = 1970, 2199
 
 
-def _nth(year: int, month: int, weekday: int, n: int) -> date:
-    """n-th Monday (0) ... Sunday (6) of a month; n = -1 is the last one."""
-    if n > 0:
-        first = date(year, month, 1)
-        return first + timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
-    last = date(year, month + 1, 1) - timedelta(days=1)
-    return last - timedelta(days=(last.weekday() - weekday) % 7)
-
-
-def _nearest_workday(day: date) -> date:
-    return day + timedelta(days={5: -1, 6: 1}.get(day.weekday(), 0))
-
-
-def _good_friday(year: int) -> date:
-    """Two days before Gregorian Easter (integer computus)."""
+def _good_friday(year: int) -> str:
+    """Good Friday as MM-DD: two days before Gregorian Easter (integer computus)."""
     golden = year % 19
     century, rest = divmod(year, 100)
     moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
     shift = (32 + 2 * (century % 4) + 2 * (rest // 4) - moon - rest % 4) % 7
     total = moon + shift - 7 * ((golden + 11 * moon + 22 * shift) // 451) + 114
-    return date(year, total // 31, total % 31 + 1) - timedelta(days=2)
-
-
-def holidays(year: int) -> list[date]:
-    """Full-day closures of a year."""
-    new_year = date(year, 1, 1)
-    days = [
-        new_year + timedelta(days=1) if new_year.weekday() == 6 else new_year,
-        _nth(year, 1, 0, 3),
-        _nth(year, 2, 0, 3),
-        _good_friday(year),
-        _nth(year, 5, 0, -1),
-        _nearest_workday(date(year, 7, 4)),
-        _nth(year, 9, 0, 1),
-        _nth(year, 11, 3, 4),
-        _nearest_workday(date(year, 12, 25)),
-    ]
-    if year >= 2022:
-        days.append(_nearest_workday(date(year, 6, 19)))
-    days.extend(d for d in map(date.fromisoformat, EXTRA_CLOSURES) if d.year == year)
-    return days
-
-
-def early_closes(year: int) -> list[date]:
-    """Weekdays that end at the early close."""
-    days = [_nth(year, 11, 3, 4) + timedelta(days=1)]
-    if date(year, 7, 4).weekday() in (1, 2, 3, 4):
-        days.append(date(year, 7, 3))
-    if date(year, 12, 24).weekday() < 5:
-        days.append(date(year, 12, 24))
-    return days
-
-
-def _in_year_table(day: Column, rule) -> Column:
-    """Is the date in its year's list? One constant table, built by rule for 1970-2199."""
-    lists = ";".join(
-        ",".join(sorted(d.strftime("%m-%d") for d in rule(year)))
-        for year in range(FIRST_YEAR, LAST_YEAR + 1)
-    )
-    of_year = F.get(F.split(F.lit(lists), ";"), F.year(day) - FIRST_YEAR)
-    return F.coalesce(F.contains(of_year, F.date_format(day, "MM-dd")), F.lit(False))
+    easter = date(year, total // 31, total % 31 + 1)
+    return (easter - timedelta(days=2)).strftime("%m-%d")
+
+
+def _is_good_friday(day: Column) -> Column:
+    """Looked up in a per-year constant built by rule for 1970-2199."""
+    days = ",".join(_good_friday(year) for year in range(FIRST_YEAR, LAST_YEAR + 1))
+    of_year = F.get(F.split(F.lit(days), ","), F.year(day) - FIRST_YEAR)
+    return F.coalesce(of_year == F.date_format(day, "MM-dd"), F.lit(False))
 
 
 def is_holiday(day: Column) -> Column:
-    return _in_year_table(day, holidays)
+    """Full-day closures that fall on a weekday, by month, day of month and weekday."""
+    month, dom, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
+    monday, thursday, friday = weekday == 0, weekday == 3, weekday == 4
+
+    def fixed(m: int, d: int, *, back: bool = True) -> Column:
+        """A fixed date, moved to Monday from Sunday and (back) to Friday from Saturday."""
+        moved = (dom == d) & (weekday < 5) | (dom == d + 1) & monday
+        if back:
+            moved = moved | (dom == d - 1) & friday
+        return (month == m) & moved
+
+    return (
+        fixed(1, 1, back=False)
+        | monday & month.isin(1, 2) & dom.between(15, 21)
+        | monday & (month == 5) & (dom >= 25)
+        | (F.year(day) >= 2022) & fixed(6, 19)
+        | fixed(7, 4)
+        | monday & (month == 9) & (dom <= 7)
+        | thursday & (month == 11) & dom.between(22, 28)
+        | fixed(12, 25)
+        | friday & month.isin(3, 4) & _is_good_friday(day)
+        | _is_extra_closure(day)
+    )
+
+
+def _is_extra_closure(day: Column) -> Column:
+    return day.isin(*[date.fromisoformat(text) for text in EXTRA_CLOSURES])
 
 
 def is_session(day: Column) -> Column:
@@ -102,7 +83,22 @@ def is_session(day: Column) -> Column:
 
 
 def is_early_close(day: Column) -> Column:
-    return _in_year_table(day, early_closes)
+    """July 3 before a weekday holiday, the Friday after Thanksgiving, and December 24."""
+    month, dom, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
+    return (
+        (month == 7) & (dom == 3) & (weekday < 4)
+        | (month == 11) & (weekday == 4) & dom.between(23, 29)
+        | (month == 12) & (dom == 24) & (weekday < 5)
+    )
+
+
+def _seconds(clock: str) -> int:
+    hours, minutes, seconds = map(int, clock.split(":"))
+    return hours * 3600 + minutes * 60 + seconds
+
+
+def second_of_day(local: Column) -> Column:
+    return F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
 
 
 def bound(day: Column, clock: str) -> Column:
@@ -124,15 +120,18 @@ def session_phase(at: Column) -> Column:
     closure has no schedule.
     """
     local = F.from_utc_timestamp(at, EXCHANGE_ZONE)
-    day = F.to_date(local)
-    clock = F.date_format(local, "HH:mm:ss")
-    close = F.when(is_early_close(day), F.lit(EARLY_CLOSE)).otherwise(F.lit(REGULAR_CLOSE))
-    closed = day.cast("string").isin(*EXTRA_CLOSURES)
+    day, second = F.to_date(local), second_of_day(local)
+    close = F.when(is_early_close(day), _seconds(EARLY_CLOSE)).otherwise(_seconds(REGULAR_CLOSE))
     return (
-        F.when(closed, F.lit(None).cast("string"))
-        .when((clock >= EXTENDED_OPEN) & (clock < REGULAR_OPEN), F.lit(PRE_MARKET))
-        .when((clock >= REGULAR_OPEN) & (clock < close), F.lit(REGULAR))
-        .when((clock >= close) & (clock < EXTENDED_CLOSE), F.lit(POST_MARKET))
+        F.when(
+            (second < _seconds(EXTENDED_OPEN))
+            | (second >= _seconds(EXTENDED_CLOSE))
+            | _is_extra_closure(day),
+            F.lit(None).cast("string"),
+        )
+        .when(second < _seconds(REGULAR_OPEN), F.lit(PRE_MARKET))
+        .when(second < close, F.lit(REGULAR))
+        .when(second >= close, F.lit(POST_MARKET))
     )
 
 
@@ -185,5 +184,5 @@ def months_before(day: Column, months: int) -> Column:
 def extended_session_complete(session: Column, now: Column) -> Column:
     """An earlier exchange date, or the same date at or after the extended close."""
     today = exchange_date(now)
-    clock = F.date_format(F.from_utc_timestamp(now, EXCHANGE_ZONE), "HH:mm:ss")
-    return (session < today) | ((session == today) & (clock >= EXTENDED_CLOSE))
+    second = second_of_day(F.from_utc_timestamp(now, EXCHANGE_ZONE))
+    return (session < today) | ((session == today) & (second >= _seconds(EXTENDED_CLOSE)))

@@ -51,12 +51,17 @@ def headline_direction(
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
     """+1 / -1 by the distinct polar words of a title, null on a tie."""
-    # Dropping other characters first leaves the same words as cleaning word by word.
-    cleaned = F.regexp_replace(fold(title), r"[^\p{L}\p{N}\s]+", "")
-    words = F.array_distinct(F.split(F.trim(cleaned), r"\s+"))
+    # Words as one padded line: a word is present if it occurs between two blanks.
+    line = F.regexp_replace(
+        F.regexp_replace(fold(title), r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "
+    )
+    padded = F.concat(F.lit(" "), line, F.lit(" "))
 
     def hits(lexicon: Sequence[str]) -> Column:
-        return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in lexicon])))
+        total = F.lit(0)
+        for word in lexicon:
+            total = total + F.contains(padded, F.lit(f" {word} ")).cast("int")
+        return total
 
     balance = hits(positive) - hits(negative)
     return F.when(balance > 0, F.lit(1.0)).when(balance < 0, F.lit(-1.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import POST_MARKET, PRE_MARKET, REGULAR, session_phase
 from tidemark.operators.ordering import dense_position
+from tidemark.operators.scaling import settle
 from tidemark.policies import ExtendedThresholds
 
 # Fixed values ------------------------------------------------------------------------
@@ -38,7 +39,8 @@ def phase_metrics(bars: DataFrame) -> DataFrame:
     One bar per start is required, so a (symbol, session, phase) window holds at most the
     minutes of one phase. The gap needs another session's close; see `with_gap`.
     """
-    frame = bars.withColumn("phase", session_phase(F.col("start"))).filter("phase IS NOT NULL")
+    labelled = settle(bars.withColumn("phase", session_phase(F.col("start"))), "phase")
+    frame = labelled.filter("phase IS NOT NULL")
     w = Window.partitionBy(*KEY, "phase").orderBy("start")
     frame = frame.withColumn("__ret", F.col("close") / F.lag("close").over(w) - 1)
     out = frame.groupBy(*KEY, "phase").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import EXCHANGE_ZONE
+from tidemark.functions.calendar import EXCHANGE_ZONE, second_of_day
 from tidemark.functions.numbers import positive
 from tidemark.operators.asof import asof_join
 from tidemark.operators.bars import volume_delta
@@ -60,8 +60,7 @@ def prepare_observations(df: DataFrame, as_of: Column | None = None) -> DataFram
 
 
 def _in_opening_range(at: Column, minutes: int) -> Column:
-    local = F.from_utc_timestamp(at, EXCHANGE_ZONE)
-    second = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    second = second_of_day(F.from_utc_timestamp(at, EXCHANGE_ZONE))
     start = 9 * 3600 + 30 * 60
     return (second >= start) & (second < start + minutes * 60)
 
@@ -76,7 +75,7 @@ def opening_range_check(df: DataFrame, minutes: int = 5) -> DataFrame:
     local = F.from_utc_timestamp(at, EXCHANGE_ZONE)
     inside = _in_opening_range(at, minutes)
     minute = F.when(inside, F.minute(local))
-    second = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    second = second_of_day(local)
     end = 9 * 3600 + 30 * 60 + minutes * 60
     return (
         df.groupBy(*KEYS)

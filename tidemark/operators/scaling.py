@@ -15,9 +15,14 @@ MIB = 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a DataFrame (file sizes for plain scans)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Bytes of all inputs a DataFrame reads, by the optimizer's statistics.
+
+    Inputs are summed rather than taking the optimizer's estimate of the result, which for
+    a join is the product of both sides. Joins here are lookups on a key of one side, so a
+    result is not larger than its inputs together. An input of unknown size counts as huge.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:

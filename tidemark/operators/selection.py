@@ -414,13 +414,16 @@ def selection_explanations(
     picks = position(
         usable, by, [F.col("rank_score").desc(), F.col("symbol").asc()], name="final_rank"
     )
-    kind = Window.partitionBy(*by, "finalist").orderBy("final_rank")
-    chosen = picks.withColumn("__rn", F.row_number().over(kind)).filter(
-        F.col("finalist") | (F.col("__rn") <= controls)
+    winners = picks.filter("finalist")
+    nearest = Window.partitionBy(*by).orderBy("final_rank")
+    others = (
+        picks.filter(~F.col("finalist"))
+        .withColumn("__rn", F.row_number().over(nearest))
+        .filter(F.col("__rn") <= controls)
     )
-    has_finalist = chosen.filter("finalist").select(*by).distinct()
+    chosen = winners.withColumn("__rn", F.lit(0)).unionByName(others)
     return (
-        chosen.join(has_finalist, by, "left_semi")
+        chosen.join(winners.select(*by).distinct(), by, "left_semi")
         .filter(is_finite(F.col("decision_price")) & (F.col("decision_price") > 0))
         .withColumn("role", role(F.col("primary"), F.col("finalist")))
         .drop("__rn")
