@@ -591,7 +591,7 @@ f AS (SELECT *, fr <= 5 AND rank_score >= 0.5 AS finalist FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY finalist ORDER BY fr) AS rn FROM f)
 SELECT symbol, CAST(fr AS INTEGER) AS final_rank,
        CASE WHEN fr = 1 THEN 'PRIMARY' WHEN finalist THEN 'FINALIST' ELSE 'CONTROL' END AS role,
-       round(0.5 + CASE WHEN news_score IS NULL THEN 0.2 ELSE 0 END + CASE WHEN social_score IS NULL THEN 0.05 ELSE 0 END
+       round(0.5::DOUBLE + CASE WHEN news_score IS NULL THEN 0.2 ELSE 0 END + CASE WHEN social_score IS NULL THEN 0.05 ELSE 0 END
          + CASE WHEN fundamental_score IS NULL THEN 0.05 ELSE 0 END, 8) AS technical_weight
 FROM k WHERE finalist OR rn <= 3
 """,
