@@ -12,12 +12,8 @@ from tidemark.registry.views import quotes_dense
 
 def collected(df, columns, digits=9):
     rows = df.select(*columns).collect()
-    return sorted(
-        tuple(round(v, digits) if isinstance(v, float) else v for v in row) for row in rows
-    ) if False else sorted(
-        (tuple(round(v, digits) if isinstance(v, float) else v for v in row) for row in rows),
-        key=repr,
-    )
+    rounded = (tuple(round(v, digits) if isinstance(v, float) else v for v in row) for row in rows)
+    return sorted(rounded, key=repr)
 
 
 @pytest.mark.parametrize("minutes", [5, 60, 240])

@@ -256,11 +256,13 @@ def required_keys(expected: DataFrame) -> DataFrame:
     days = span.select(F.explode(F.sequence("a", "b")).alias("session_date")).filter(
         is_session(F.col("session_date"))
     )
-    # Array of at most a few hundred dates a year, attached to each distinct symbol.
-    dates = days.agg(F.collect_set("session_date").alias("dates")).withColumn("__one", F.lit(1))
-    symbols = expected.select("symbol").distinct().withColumn("__one", F.lit(1))
-    return symbols.join(F.broadcast(dates), "__one").select(
-        "symbol", F.explode("dates").alias("session_date")
+    # One array of at most a few hundred dates a year, attached to each distinct symbol.
+    dates = days.agg(F.collect_set("session_date")).scalar()
+    return (
+        expected.select("symbol")
+        .distinct()
+        .withColumn("__dates", dates)
+        .select("symbol", F.explode("__dates").alias("session_date"))
     )
 
 

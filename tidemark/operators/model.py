@@ -74,10 +74,9 @@ def walk_forward(rows: DataFrame, windows: ModelWindows, *, bounded: bool | None
         bounded=bounded,
     )
     total, step = windows.minimum_rows, windows.validation
-    # One-row total joined on a constant.
-    counted = ordered.join(
-        rows.agg(F.count("*").alias("__n")).withColumn("__all", F.lit(1)), "__all"
-    ).withColumn("row", F.col("row") - 1)
+    counted = ordered.withColumns(
+        {"__n": rows.agg(F.count("*")).scalar(), "row": F.col("row") - 1}
+    )
     folds = F.floor((F.col("__n") - total) / step) + 1
     first = F.greatest(F.lit(0), F.ceil((F.col("row") - total + 1) / step))
     last = F.least(folds - 1, F.floor(F.col("row") / step))

@@ -366,7 +366,15 @@ def monitor_5min_stream(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.streaming import quotes as stream
 
     events = table(spark, folder, "events")
-    landed = stream.landed_quotes(spark, folder, events.schema, pattern="events.parquet")
+    # The landed table is a folder of files, or a single file named like the table.
+    first = events.select("_metadata.file_path").first()
+    single = first is None or first["file_path"].endswith("/events.parquet")
+    landed = stream.landed_quotes(
+        spark,
+        folder if single else f"{folder}/events.parquet",
+        events.schema,
+        pattern="events.parquet" if single else "*.parquet",
+    )
     live = dense_from_events(landed).withWatermark("received_at", stream.WATERMARK)
     buckets = stream.monitor_buckets(live, selections(spark, folder))
     target = shared_folder(spark)
