@@ -198,8 +198,8 @@ def market_features(
         minima=opening[1] if running_opening_range else None,
         key_maxima=None if running_opening_range else opening[0],
         key_minima=None if running_opening_range else opening[1],
+        emas={"ema": (price, windows.ema_span)},
     )
-    series.ema("ema", price, windows.ema_span)
     out = series.finish()
 
     midpoint = (F.col("ask_price") + F.col("bid_price")) / 2

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,13 +143,22 @@ class KeyedSeries:
         minima: Mapping[str, Column] | None = None,
         key_maxima: Mapping[str, Column] | None = None,
         key_minima: Mapping[str, Column] | None = None,
+        emas: Mapping[str, tuple[Column, int]] | None = None,
     ) -> KeyedSeries:
         """Add results that depend on all earlier rows (or all rows) of the key.
 
         sums, maxima, minima and lasts are running up to the current row (`lasts` is the
         latest non-null value); firsts is the first row's value; key_maxima / key_minima
-        are over the whole key.
+        are over the whole key; emas maps a name to (value, span), see `ema`. Asking for
+        everything in one call shares one carry table and one join.
         """
+        emas = dict(emas or {})
+        # A span of one is the value itself.
+        self.with_columns({n: v.cast("double") for n, (v, span) in emas.items() if span <= 1})
+        emas = {n: (v, span) for n, (v, span) in emas.items() if span > 1}
+        spans = {name: span for name, (_, span) in emas.items()}
+        if spans:
+            self._local_emas(emas)
         kinds = {
             "sum": dict(sums or {}),
             "first": dict(firsts or {}),
@@ -187,7 +197,12 @@ class KeyedSeries:
                 local[name] = F.max(source(name)).over(everything)
             for name in kinds["key_min"]:
                 local[name] = F.min(source(name)).over(everything)
-            self.df = frame.withColumns(local).drop(*[f"__in_{name}" for name in inputs])
+            for name, span in spans.items():
+                seed = F.first(F.col(f"__x_{name}")).over(self.running)
+                local[name] = F.col(f"__e_{name}") + _past_weight(span) * seed
+            self.df = frame.withColumns(local).drop(
+                *[f"__in_{name}" for name in inputs], *self._ema_columns(spans)
+            )
             return self
 
         at = F.struct(*self.order)
@@ -204,6 +219,11 @@ class KeyedSeries:
             totals.append(
                 F.max_by(source(name), F.when(source(name).isNotNull(), at)).alias(f"__c_{name}")
             )
+        for name in spans:
+            totals.append(F.max_by(f"__e_{name}", "__i").alias(f"__c_end_{name}"))
+            totals.append(F.min_by(f"__x_{name}", "__i").alias(f"__c_seed_{name}"))
+        if spans:
+            totals.append(F.count("*").cast("double").alias("__c_rows"))
         segments = frame.filter(~F.col(GHOST)).groupBy(*self.keys, SEGMENT).agg(*totals)
         across = Window.partitionBy(*self.keys).orderBy(SEGMENT)
         before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -227,6 +247,8 @@ class KeyedSeries:
             carried[f"__p_{name}"] = F.max(carry(name)).over(whole_key)
         for name in kinds["key_min"]:
             carried[f"__p_{name}"] = F.min(carry(name)).over(whole_key)
+        for name, span in spans.items():
+            carried[f"__p_{name}"] = self._ema_carry(name, span, across, whole_key)
         carries = segments.select(
             *self.keys, SEGMENT, *[expr.alias(name) for name, expr in carried.items()]
         )
@@ -246,110 +268,93 @@ class KeyedSeries:
             final[name] = F.col(f"__p_{name}").getField(f"__in_{name}")
         for name in (*kinds["key_max"], *kinds["key_min"]):
             final[name] = F.col(f"__p_{name}")
+        for name, span in spans.items():
+            final[name] = F.col(f"__e_{name}") + _past_weight(span) * F.col(f"__p_{name}")
         self.df = joined.withColumns(final).drop(
-            *[f"__in_{name}" for name in inputs], *carried
+            *[f"__in_{name}" for name in inputs], *carried, *self._ema_columns(spans)
         )
         return self
 
     def ema(self, name: str, value: Column, span: int) -> KeyedSeries:
-        """Recursive exponential mean, alpha = 2 / (span + 1), seeded by the first value.
+        """Recursive exponential mean, alpha = 2 / (span + 1), seeded by the first value."""
+        return self.accumulate(emas={name: (value, span)})
+
+    def _ema_columns(self, spans: Mapping[str, int]) -> list[str]:
+        return ["__i", *[f"__{kind}_{name}" for name in spans for kind in ("x", "e")]]
 
-        Closed form in blocks short enough that the powers stay in double range. The mean
-        at the end of the previous block (or segment) enters with weight (1-alpha)^n.
+    def _local_emas(self, emas: Mapping[str, tuple[Column, int]]) -> None:
+        """Mean of the segment's own rows, as if everything before it were zero.
+
+        Closed form in blocks short enough that the powers stay in double range; the end of
+        the previous block enters with its decayed weight (earlier blocks are below double
+        precision). The seed is the same as a past mean equal to the first value, so it is
+        added with the carry.
         """
-        if span <= 1:
-            self.df = self.df.withColumn(name, value.cast("double"))
-            return self
-        alpha = 2.0 / (span + 1)
-        keep = 1.0 - alpha
-        block = _ema_block(keep)
-        real = Window.partitionBy(*self.keys, SEGMENT, GHOST).orderBy(*self.order)
+        own = Window.partitionBy(*self.keys, SEGMENT, GHOST).orderBy(*self.order)
         frame = self.df.withColumns(
-            {"__x": value.cast("double"), "__i": F.row_number().over(real) - 1}
-        ).withColumns(
             {
-                "__block": F.floor(F.col("__i") / block),
-                "__pos": (F.col("__i") % block).cast("double"),
+                "__i": (F.row_number().over(own) - 1).cast("double"),
+                **{f"__x_{name}": value.cast("double") for name, (value, _) in emas.items()},
             }
         )
-        if self.whole:
-            seed = F.col("__i") == 0
-        else:
-            first_segment = (
-                frame.filter(~F.col(GHOST)).groupBy(*self.keys, SEGMENT).agg(F.count("*").alias("__n"))
-            ).withColumn(
-                "__is_first",
-                F.row_number().over(Window.partitionBy(*self.keys).orderBy(SEGMENT)) == 1,
-            )
-            frame = frame.join(first_segment.drop("__n"), [*self.keys, SEGMENT], "left")
-            seed = (F.col("__i") == 0) & F.col("__is_first")
-        weight = F.when(seed, F.lit(1.0)).otherwise(F.lit(alpha))
-        in_block = (
-            Window.partitionBy(*self.keys, SEGMENT, GHOST, "__block")
-            .orderBy(*self.order)
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
-        earlier = real.rowsBetween(Window.unboundedPreceding, -1)
-        frame = (
-            frame.withColumn(
-                "__s",
-                F.pow(F.lit(keep), F.col("__pos"))
-                * F.sum(weight * F.col("__x") * F.pow(F.lit(keep), -F.col("__pos"))).over(in_block),
+        for name, (_, span) in emas.items():
+            keep = _keep(span)
+            block = _ema_block(span)
+            x = F.col(f"__x_{name}")
+            in_block = (
+                Window.partitionBy(*self.keys, SEGMENT, GHOST, "__block")
+                .orderBy(*self.order)
+                .rowsBetween(Window.unboundedPreceding, 0)
             )
-            .withColumn(
-                "__prev",
-                F.last(F.when(F.col("__pos") == block - 1, F.col("__s")), ignorenulls=True).over(
-                    earlier
-                ),
-            )
-            .withColumn(
-                name,
-                F.col("__s")
-                + F.when(
-                    F.col("__block") > 0, F.pow(F.lit(keep), F.col("__pos") + 1) * F.col("__prev")
-                ).otherwise(F.lit(0.0)),
-            )
-        )
-        if not self.whole:
-            ends = (
-                frame.filter(~F.col(GHOST))
-                .groupBy(*self.keys, SEGMENT)
-                .agg(
-                    F.max_by(name, "__i").alias("__end"),
-                    F.count("*").cast("double").alias("__n"),
+            earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+            decay = F.pow(F.lit(keep), F.col("__pos"))
+            ended = F.when(F.col("__pos") == block - 1, F.col("__s"))
+            frame = (
+                frame.withColumns(
+                    {
+                        "__block": F.floor(F.col("__i") / block),
+                        "__pos": F.pmod(F.col("__i"), F.lit(float(block))),
+                    }
                 )
+                .withColumn("__s", decay * F.sum((1 - keep) * x / decay).over(in_block))
+                .withColumn("__prev", F.last(ended, ignorenulls=True).over(earlier))
+                .withColumn(
+                    f"__e_{name}",
+                    F.col("__s") + F.coalesce(decay * keep * F.col("__prev"), F.lit(0.0)),
+                )
+                .drop("__block", "__pos", "__s", "__prev")
             )
-            # Every non-empty segment decays the past at least once, so `block` segments back
-            # is below double precision.
-            back = (
-                Window.partitionBy(*self.keys).orderBy(SEGMENT).rowsBetween(-block, -1)
-            )
-            carries = ends.select(
-                *self.keys,
-                SEGMENT,
-                F.aggregate(
-                    F.collect_list(F.struct("__end", "__n")).over(back),
-                    F.lit(0.0),
-                    lambda total, part: total * F.pow(F.lit(keep), part["__n"]) + part["__end"],
-                ).alias("__carry"),
-            )
-            frame = frame.join(carries, [*self.keys, SEGMENT], "left").withColumn(
-                name,
-                F.col(name)
-                + F.pow(F.lit(keep), F.col("__i").cast("double") + 1)
-                * F.coalesce(F.col("__carry"), F.lit(0.0)),
-            )
-        self.df = frame.drop(
-            "__x", "__i", "__block", "__pos", "__s", "__prev", "__is_first", "__carry"
+        self.df = frame
+
+    def _ema_carry(self, name: str, span: int, across: Window, whole_key: Window) -> Column:
+        """Mean at the end of all earlier segments; the first value before the first one.
+
+        Every segment decays its past at least once, so going `block` segments back is
+        already below double precision.
+        """
+        keep = _keep(span)
+        back = across.rowsBetween(-_ema_block(span), -1)
+        seed = F.first(F.col(f"__c_seed_{name}")).over(whole_key)
+        parts = F.collect_list(
+            F.struct(F.col(f"__c_end_{name}").alias("end"), F.col("__c_rows").alias("rows"))
+        ).over(back)
+        return F.aggregate(
+            parts, seed, lambda total, part: total * F.pow(F.lit(keep), part["rows"]) + part["end"]
         )
-        return self
 
     def finish(self) -> DataFrame:
         return self.df.filter(~F.col(GHOST)).drop(SEGMENT, GHOST)
 
 
-def _ema_block(keep: float) -> int:
-    """Rows after which the past weighs less than 1e-40 while the powers stay in range."""
-    from math import ceil, log
+def _keep(span: int) -> float:
+    return 1.0 - 2.0 / (span + 1)
+
 
-    return max(2, ceil(-log(1e-40) / -log(keep)))
+def _past_weight(span: int) -> Column:
+    """Weight of the mean before a segment at its i-th row."""
+    return F.pow(F.lit(_keep(span)), F.col("__i") + 1)
+
+
+def _ema_block(span: int) -> int:
+    """Rows after which the past weighs less than 1e-40 while the powers stay in range."""
+    return max(2, ceil(log(1e-40) / log(_keep(span))))
