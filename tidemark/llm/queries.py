@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs
+from tidemark.llm import byte_pairs, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,8 @@ def query(name: str, sql: str | None = None):
 def _byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_pairs.digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op9_simhash")
+def _simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.result(table(spark, folder, "documents"))
