@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, simhash
+from tidemark.llm import byte_pairs, contamination, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,8 @@ def _byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_simhash")
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.result(table(spark, folder, "documents"))
+
+
+@query("op3_decontamination")
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.result(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
