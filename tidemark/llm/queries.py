@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, simhash
+from tidemark.llm import byte_pairs, contamination, language_model, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_decontamination")
 def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.result(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_subword_lattice")
+def _subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.result(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
