@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, simhash
+from tidemark.llm import byte_pairs, contamination, language_model, planes, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_subword_lattice")
 def _subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.result(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_bit_planes")
+def _bit_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return planes.result(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
