@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, planes, simhash
+from tidemark.llm import byte_pairs, contamination, language_model, planes, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def _subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_bit_planes")
 def _bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     return planes.result(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_quality_rules", quality_rules.ORACLE_SQL)
+def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.result(table(spark, folder, "documents"))
