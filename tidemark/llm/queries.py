@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, planes, quality_rules, simhash
+from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def _bit_planes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_rules", quality_rules.ORACLE_SQL)
 def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.result(table(spark, folder, "documents"))
+
+
+@query("op4_license_scan", licenses.ORACLE_SQL)
+def _license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.result(table(spark, folder, "documents"))
