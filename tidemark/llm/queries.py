@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, quality_rules, simhash
+from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, quality_rules, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_license_scan", licenses.ORACLE_SQL)
 def _license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.result(table(spark, folder, "documents"))
+
+
+@query("op1_url_filters", url_filters.ORACLE_SQL)
+def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.result(table(spark, folder, "pages"))
