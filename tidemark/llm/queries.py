@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, quality_rules, simhash, url_filters
+from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, quality_classifier, quality_rules, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def _license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_url_filters", url_filters.ORACLE_SQL)
 def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.result(table(spark, folder, "pages"))
+
+
+@query("op7_nbsvm")
+def _nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.result(table(spark, folder, "documents"), table(spark, folder, "labels"))
