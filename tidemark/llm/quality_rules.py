@@ -187,7 +187,10 @@ def result(df: DataFrame) -> DataFrame:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows of `df` that the rules keep."""
-    return judged(df).where("kept").select("row.*")
+    # A filter right above would be pushed down to the scan with all its expressions spelt out;
+    # passing the verdict through a one-row `inline` keeps it above the finished values.
+    verdicts = judged(df).select("row", F.inline(F.array(F.struct("kept"))))
+    return verdicts.where("kept").select("row.*")
 
 
 def _sql() -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, quality_classifier, quality_rules, simhash, url_filters
+from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, pseudonyms, quality_classifier, quality_rules, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,13 @@ def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_nbsvm")
 def _nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.result(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_pseudonyms")
+def _pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.result(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

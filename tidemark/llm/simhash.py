@@ -148,3 +148,20 @@ def result(df: DataFrame) -> DataFrame:
     return near_duplicates(df).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(df: DataFrame, distance: int = 3) -> DataFrame:
+    """One row of `df` per component, with all its columns: the smallest doc_id's, ties by text.
+
+    Rows without an id count only where their component has no other.
+    """
+    grouped = near_duplicates(df.select("doc_id", "text"), distance)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first")
+    # A component is named by its smallest id; rows without any id stand for their own text.
+    own = F.when(F.col("component_id").isNull(), F.col("fp"))
+    chosen = grouped.groupBy("component_id", own.alias("own")).agg(first).select("first.doc_id", "first.text_key").distinct()
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    same = keyed["text_key"].eqNullSafe(chosen["text_key"]) & keyed["doc_id"].eqNullSafe(chosen["doc_id"])
+    kept = keyed.join(chosen, same, "left_semi")
+    # Rows that repeat both id and text are one document.
+    return kept.groupBy("doc_id", "text_key").agg(F.min("row").alias("row")).select("row.*")
