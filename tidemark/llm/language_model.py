@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.lattice import Lattice, piece_bytes, zipf
-from tidemark.llm.texts import bucket_of, map_batches, raw
+from tidemark.llm.texts import bucket_of, gathered, map_batches, raw
 from tidemark.shared import materialise
 
 #: Words that every task knows; distinct words that a counting task holds before it passes
 #: them on; weight of the vocabulary's own scores against expected counts.
 HEAD = 100_000
 HELD_WORDS = 400_000
+#: Words whose lattices are computed together.
+WORDS_TOGETHER = 40_000
 PRIOR_WEIGHT = 1_000.0
 #: The end of a text is counted under a key that is no word.
 END = b" "
@@ -85,7 +87,7 @@ def trained(counts: DataFrame, model_file: str) -> tuple[np.ndarray, float]:
         known, start = _pieces(model_file)
         lattice = Lattice(known, np.log(start))
         total = np.zeros(len(known))
-        for batch in batches:
+        for batch in gathered(batches, WORDS_TOGETHER):
             total += lattice.expected(batch.column(0).to_pylist(), np.asarray(batch.column(1), np.float64))
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "n"])
@@ -106,7 +108,7 @@ def scored_words(counts: DataFrame, model_file: str, weights: np.ndarray) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(_pieces(model_file)[0], sent.value)
-        for batch in batches:
+        for batch in gathered(batches, WORDS_TOGETHER):
             values = lattice.score(batch.column(0).to_pylist()) / LN10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["word", "c", "lp"])
 

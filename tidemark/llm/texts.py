@@ -31,6 +31,18 @@ def map_batches(
     return df.mapInArrow(function, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `rows`, for work on short values that pays per batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(each.num_rows for each in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def bucket_of(name: str, modulus: int) -> Column:
     """crc32 of a value as text, modulo `modulus`; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
