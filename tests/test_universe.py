@@ -111,6 +111,10 @@ def test_cohort_buckets_and_shortfall(spark):
     ranked = df.filter("symbol <> 'bad'").withColumn("place", F.substring("symbol", 2, 2).cast("int"))
     given = selection.build_cohort(ranked, policy, given_order="place")
     assert sorted(r.symbol for r in given.filter("bucket = 'core'").collect()) == by["core"]
+    # Diversity rows keep the position they were given.
+    assert {r.symbol: r.rank for r in given.filter("bucket = 'diversity'").collect()} == {
+        s: int(s[1:]) + 1 for s in by["diversity"]
+    }
 
 
 def test_kill_switch_blocks_everyone(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,25 +27,21 @@ def exchange_date(at: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(at, EXCHANGE_ZONE))
 
 
-FIRST_YEAR, LAST_YEAR = 1970, 2199
-
-
-def _good_friday(year: int) -> str:
-    """Good Friday as MM-DD: two days before Gregorian Easter (integer computus)."""
-    golden = year % 19
-    century, rest = divmod(year, 100)
-    moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
-    shift = (32 + 2 * (century % 4) + 2 * (rest // 4) - moon - rest % 4) % 7
-    total = moon + shift - 7 * ((golden + 11 * moon + 22 * shift) // 451) + 114
-    easter = date(year, total // 31, total % 31 + 1)
-    return (easter - timedelta(days=2)).strftime("%m-%d")
+def _is_good_friday(day: Column) -> Column:
+    """Two days before Easter, by the integer computus of the Gregorian calendar."""
 
+    def whole(value: Column) -> Column:
+        return F.floor(value).cast("int")
 
-def _is_good_friday(day: Column) -> Column:
-    """Looked up in a per-year constant built by rule for 1970-2199."""
-    days = ",".join(_good_friday(year) for year in range(FIRST_YEAR, LAST_YEAR + 1))
-    of_year = F.get(F.split(F.lit(days), ","), F.year(day) - FIRST_YEAR)
-    return F.coalesce(of_year == F.date_format(day, "MM-dd"), F.lit(False))
+    year = F.year(day)
+    golden, century, rest = year % 19, whole(year / 100), year % 100
+    moon = (
+        19 * golden + century - whole(century / 4) - whole((century - whole((century + 8) / 25) + 1) / 3) + 15
+    ) % 30
+    shift = (32 + 2 * (century % 4) + 2 * whole(rest / 4) - moon - rest % 4) % 7
+    total = moon + shift - 7 * whole((golden + 11 * moon + 22 * shift) / 451) + 114
+    easter = F.make_date(year, whole(total / 31), total % 31 + 1)
+    return day == F.date_sub(easter, 2)
 
 
 def is_holiday(day: Column) -> Column:
@@ -135,13 +131,17 @@ def session_phase(at: Column) -> Column:
     )
 
 
-def trading_calendar(spark: SparkSession, start: date | str, end: date | str) -> DataFrame:
-    """Sessions between two dates with their four UTC bounds and neighbours."""
-    days = spark.range(1).select(
-        F.explode(
-            F.sequence(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))
-        ).alias("session")
+def trading_calendar(
+    spark: SparkSession, start: date | str | Column, end: date | str | Column
+) -> DataFrame:
+    """Sessions between two dates with their four UTC bounds and neighbours.
+
+    The dates may be columns without input, such as scalar subqueries over the data.
+    """
+    first, last = (
+        day if isinstance(day, Column) else F.lit(str(day)).cast("date") for day in (start, end)
     )
+    days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("session"))
     return with_neighbours(with_bounds(days.filter(is_session(F.col("session")))))
 
 

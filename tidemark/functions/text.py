@@ -51,17 +51,11 @@ def headline_direction(
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
     """+1 / -1 by the distinct polar words of a title, null on a tie."""
-    # Words as one padded line: a word is present if it occurs between two blanks.
-    line = F.regexp_replace(
-        F.regexp_replace(fold(title), r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "
-    )
-    padded = F.concat(F.lit(" "), line, F.lit(" "))
+    # Every Unicode blank parts words; a word counts once.
+    words = F.split(F.regexp_replace(fold(title), r"(?U)[^\p{L}\p{N}\s]+", ""), r"(?U)\s+")
 
     def hits(lexicon: Sequence[str]) -> Column:
-        total = F.lit(0)
-        for word in lexicon:
-            total = total + F.contains(padded, F.lit(f" {word} ")).cast("int")
-        return total
+        return F.size(F.array_intersect(words, F.array(*[F.lit(word) for word in lexicon])))
 
     balance = hits(positive) - hits(negative)
     return F.when(balance > 0, F.lit(1.0)).when(balance < 0, F.lit(-1.0))

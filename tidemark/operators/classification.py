@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import ship_package
+
 # Fixed values ------------------------------------------------------------------------
 UNCERTAIN = "uncertain"
 DIRECTIONS = ("positive", "negative", "neutral", UNCERTAIN)
@@ -46,7 +48,7 @@ def classify_distinct(
 
     Texts are reduced to one row per hash with map-side combining before Python sees them,
     and hashes already in `cache` (text_hash, model, prompt_version, direction, impact,
-    confidence) are skipped. Only hashes are joined back, never the texts. A batch whose
+    confidence) are skipped. Only hashes are joined back, never the texts. A text on which the
     classifier fails, and every unsound result, becomes `uncertain` and is not to be cached.
     """
     hashed = documents.withColumn("text_hash", content_hash(F.col(text)))
@@ -58,21 +60,27 @@ def classify_distinct(
         ).select("text_hash", "direction", "impact", "confidence", F.lit(True).alias("cached"))
         distinct = distinct.join(hits.select("text_hash"), "text_hash", "left_anti")
 
+    names = ["direction", "impact", "confidence"]
+
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        """Answers with `cached`; if the classifier fails on several texts, each is tried alone."""
+        try:
+            out = classifier(texts)[names].set_index(texts.index)
+            out["cached"] = True
+            return out
+        except Exception:  # noqa: BLE001  (a failing classifier must not fail the job)
+            if len(texts) > 1:
+                return pd.concat([judged(texts.iloc[i : i + 1]) for i in range(len(texts))])
+            failed = {"direction": UNCERTAIN, "impact": 0.0, "confidence": 0.0, "cached": False}
+            return pd.DataFrame(failed, index=texts.index)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                out = classifier(batch["__text"])[["direction", "impact", "confidence"]]
-                out = out.set_index(batch.index)
-                ok = True
-            except Exception:  # noqa: BLE001  (a failing classifier must not fail the job)
-                out = pd.DataFrame(
-                    {"direction": UNCERTAIN, "impact": 0.0, "confidence": 0.0}, index=batch.index
-                )
-                ok = False
+            out = judged(batch["__text"])
             out.insert(0, "text_hash", batch["text_hash"])
-            out["cached"] = ok
             yield out
 
+    ship_package(documents.sparkSession)
     fresh = distinct.mapInPandas(run, RESULT_SCHEMA)
     sound = event_problem().isNull()
     fresh = fresh.select(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import clip, clip_known, parse_number, parse_unit
+from tidemark.functions.numbers import clip, clip_known, finite
 from tidemark.functions.text import (
     NEGATIVE_WORDS,
     POSITIVE_WORDS,
@@ -182,17 +182,28 @@ def field(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}")
 
 
-def _is_text(name: str) -> Column:
-    return F.regexp_like("payload", F.lit(f'"{name}"\\s*:\\s*"'))
+def _typed(name: str, kind: str) -> Column:
+    """A top-level member of the payload read as a type; null where it is not of that type."""
+    return F.expr(f"try_variant_get(try_parse_json(payload), '$.{name}', '{kind}')")
+
+
+def number_of(name: str) -> Column:
+    """A finite number from a JSON number, boolean or numeric text, null for anything else."""
+    return finite(_typed(name, "double"))
+
+
+def unit_of(name: str, default: float) -> Column:
+    return F.coalesce(clip(number_of(name)), F.lit(default))
 
 
 def direction_of(name: str) -> Column:
-    """Word or clipped number as a direction; junk is 0, an absent field null."""
-    value = field(name)
-    word = F.lower(F.trim(value))
+    """Word or clipped number as a direction; JSON null and junk are 0, an absent field null."""
+    value = _typed(name, "variant")
+    word = F.lower(F.trim(_typed(name, "string")))
     spoken = F.when(word == "positive", 1.0).when(word == "negative", -1.0).otherwise(0.0)
-    number = F.coalesce(clip(parse_number(value), -1.0, 1.0), F.lit(0.0))
-    return F.when(value.isNotNull(), F.when(_is_text(name), spoken).otherwise(number))
+    number = F.coalesce(clip(number_of(name), -1.0, 1.0), F.lit(0.0))
+    is_text = F.schema_of_variant(value) == "STRING"
+    return F.when(value.isNotNull(), F.when(is_text, spoken).otherwise(number))
 
 
 def event_score(
@@ -206,16 +217,16 @@ def event_score(
         F.lit(0.0), (F.unix_micros(cutoff) - F.unix_micros("source_at")) / F.lit(3_600_000_000.0)
     )
     recency = F.pow(F.lit(0.5), age / F.lit(HALF_LIFE_HOURS))
-    given = clip(parse_number(field("normalized_score")))
+    given = clip(number_of("normalized_score"))
     from_headline = F.when(
         (F.col("kind") == "news") & (F.col("provider") == HEADLINE_PROVIDER),
         headline_direction(F.col("title"), positive, negative),
     )
     direction = F.coalesce(direction_of("direction"), from_headline)
     strength = (
-        parse_unit(field("impact"), 0.5)
-        * parse_unit(field("confidence"), 0.5)
-        * parse_unit(field("relevance"), 0.5)
+        unit_of("impact", 0.5)
+        * unit_of("confidence", 0.5)
+        * unit_of("relevance", 0.5)
         * recency
     )
     return F.when(given.isNotNull(), clip_known(0.5 + (given - 0.5) * recency)).when(
@@ -227,36 +238,41 @@ def social_score(
     positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS
 ) -> Column:
     """Score of a social post from given score, engagement, or attention parts."""
-    given = clip(parse_number(field("normalized_score")))
+    given = clip(number_of("normalized_score"))
     direction = F.coalesce(
         direction_of("sentiment"),
         direction_of("direction"),
         headline_direction(F.col("title"), positive, negative),
     )
-    ratio_text = field("upvote_ratio")
-    ratio = clip(parse_number(ratio_text))
+    ratio = clip(number_of("upvote_ratio"))
 
     def count(name: str) -> Column:
-        return F.greatest(F.lit(0.0), F.coalesce(parse_number(field(name)), F.lit(0.0)))
+        """Absent, null and empty count as 0; what is no number gives null."""
+        value, number = _typed(name, "variant"), number_of(name)
+        nothing = value.isNull() | F.is_variant_null(value) | (_typed(name, "string") == "")
+        return F.when(F.coalesce(nothing, F.lit(False)), 0.0).when(
+            number.isNotNull(), F.greatest(F.lit(0.0), number)
+        )
 
-    engagement = clip_known(
-        F.log1p(count("score") + count("num_comments")) / F.log1p(F.lit(float(ENGAGEMENT_SCALE)))
+    attention = F.log1p(count("score") + count("num_comments"))
+    engagement = F.when(
+        attention.isNotNull(), clip_known(attention / F.log1p(F.lit(float(ENGAGEMENT_SCALE))))
     )
     confidence = 0.5 + F.abs(ratio - 0.5)
     strength = (
-        parse_unit(field("attention"), 0.5)
-        * parse_unit(field("engagement"), 0.5)
-        * parse_unit(field("uniqueness"), 0.5)
-        * (1 - parse_unit(field("spam_confidence"), 0.0))
+        unit_of("attention", 0.5)
+        * unit_of("engagement", 0.5)
+        * unit_of("uniqueness", 0.5)
+        * (1 - unit_of("spam_confidence", 0.0))
     )
     return (
         F.when(given.isNotNull(), given)
         .when(direction.isNull(), F.lit(0.5))
         .when(
-            ratio_text.isNotNull(),
+            _typed("upvote_ratio", "variant").isNotNull(),
             F.coalesce(
                 F.when(
-                    ratio.isNotNull(),
+                    ratio.isNotNull() & engagement.isNotNull(),
                     clip_known(0.5 + 0.5 * direction * engagement * confidence),
                 ),
                 F.lit(0.5),
@@ -270,7 +286,8 @@ def risk_flags() -> Column:
     """Upper-cased, sorted flags from a JSON array or a single string."""
     text = field("risk_flags")
     listed = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-    flags = F.when(_is_text("risk_flags"), F.array(text)).otherwise(listed)
+    is_text = F.schema_of_variant(_typed("risk_flags", "variant")) == "STRING"
+    flags = F.when(is_text, F.array(text)).otherwise(listed)
     cleaned = F.filter(F.transform(flags, lambda f: F.upper(F.trim(f))), lambda f: f != "")
     return F.array_sort(cleaned)
 
@@ -282,16 +299,16 @@ def catalyst_evidence() -> dict[str, Column]:
         F.nullif(field("event_type"), F.lit("")),
         F.upper("kind"),
     )
-    freshness = F.coalesce(parse_number(field("freshness_hours")), F.lit(0.0))
+    freshness = F.coalesce(number_of("freshness_hours"), F.lit(0.0))
     return {
         "schema_version": F.lit(CATALYST_SCHEMA_VERSION),
         "family": F.upper(F.trim(family)),
         "direction": F.coalesce(direction_of("direction"), direction_of("sentiment"), F.lit(0.0)),
         "magnitude": F.coalesce(
-            clip(parse_number(field("magnitude"))), clip(parse_number(field("impact"))), F.lit(0.5)
+            clip(number_of("magnitude")), clip(number_of("impact")), F.lit(0.5)
         ),
-        "relevance": parse_unit(field("relevance"), 0.5),
-        "confidence": parse_unit(field("confidence"), 0.5),
+        "relevance": unit_of("relevance", 0.5),
+        "confidence": unit_of("confidence", 0.5),
         "freshness_hours": F.greatest(F.lit(0.0), freshness),
         "risk_flags": risk_flags(),
     }

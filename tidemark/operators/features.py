@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import EXCHANGE_ZONE, second_of_day
-from tidemark.functions.numbers import positive
+from tidemark.functions.numbers import is_finite, positive
 from tidemark.operators.asof import asof_join
 from tidemark.operators.bars import volume_delta
 from tidemark.operators.segments import KeyedSeries, Segmentation
@@ -37,7 +37,7 @@ def observation_problem(df: DataFrame) -> Column:
     return (
         F.when(F.col("received_at").isNull(), "missing time")
         .when(
-            price.isNull() | bid.isNull() | ask.isNull() | volume.isNull(),
+            ~(is_finite(price) & is_finite(bid) & is_finite(ask) & is_finite(volume)),
             "incomplete level 1 values",
         )
         .when(F.least(price, bid, ask) <= 0, "non-positive price")
@@ -52,7 +52,9 @@ def duplicate_observations(df: DataFrame) -> DataFrame:
 
 def prepare_observations(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Rows known by the cutoff and eligible; broken rows are dropped (quarantine them with
-    `observation_problem`)."""
+    `observation_problem`). Rows that repeat a symbol's time are a fault of the source
+    (`duplicate_observations` lists them); the largest of them by price and then by the other
+    columns stands, so that results never depend on the order of reading."""
     frame = df if as_of is None else df.filter(F.col("received_at") <= as_of)
     if "is_trade_eligible" in frame.columns:
         frame = frame.filter(F.col("is_trade_eligible"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import is_finite, sigmoid
 from tidemark.operators.ordering import position
 from tidemark.policies import ModelWindows
+from tidemark.shared import ship_package
 
 # Fixed values ------------------------------------------------------------------------
 ALGORITHM_VERSION = "logistic-baseline-v1"
@@ -147,6 +148,7 @@ def walk_forward_predictions(
         out["probability"] = probability.reshape(-1)
         return out
 
+    ship_package(folds.sparkSession)
     lean = folds.select("fold", "part", F.col("row").cast("long").alias("row"), "label", *names)
     partitions = int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (

@@ -59,20 +59,15 @@ def round_trip_cost(
 
 
 def plan_problem() -> Column:
-    """Why a plan cannot be evaluated, null when it can."""
-    entry, stop, target = F.col("entry"), F.col("stop"), F.col("target")
-    return (
-        F.when(
-            entry.isNull() | stop.isNull() | target.isNull() | F.col("quantity").isNull(),
-            "plan is incomplete",
-        )
-        .when(
-            (F.least(entry, stop, target) <= 0) | (F.col("quantity") < 1),
-            "plan prices or quantity are invalid",
-        )
-        .when(stop >= entry, "stop must be below entry")
-        .when(target <= entry, "target must be above entry")
-    )
+    """Code of what keeps a plan from being evaluated, null when nothing does."""
+    prices = F.least("entry", "stop", "target")
+    codes = {
+        "plan:gap": F.greatest(*[F.col(name).isNull() for name in ("entry", "stop", "target", "quantity")]),
+        "plan:size": (prices <= 0) | (F.col("quantity") < 1),
+        "plan:stop": F.col("stop") >= F.col("entry"),
+        "plan:target": F.col("target") <= F.col("entry"),
+    }
+    return F.coalesce(*[F.when(test, F.lit(code)) for code, test in codes.items()])
 
 
 def barrier_outcomes(plans: DataFrame, bars: DataFrame, *, shadow: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import REGULAR, exchange_date, session_phase
+from tidemark.functions.calendar import REGULAR, exchange_date, is_session, session_phase
 
 # Fixed values ------------------------------------------------------------------------
 VERDICTS = (
@@ -66,10 +66,13 @@ def classify_quotes(quotes: DataFrame, max_latency_ms: int = MAX_LATENCY_MS) ->
 
 
 def regular_eligible(quotes: DataFrame) -> DataFrame:
-    """Eligible quotes received during the regular session (early closes respected)."""
-    return quotes.filter(
-        F.col("is_trade_eligible") & (session_phase(F.col("received_at")) == REGULAR)
-    )
+    """Eligible quotes received during the regular hours of a session (early closes respected)."""
+    return quotes.filter(F.col("is_trade_eligible") & in_regular_session(F.col("received_at")))
+
+
+def in_regular_session(at: Column) -> Column:
+    """Regular hours of a trading date; weekends and holidays have none."""
+    return (session_phase(at) == REGULAR) & is_session(exchange_date(at))
 
 
 def latest_quotes(quotes: DataFrame, tie_break: str = "event_id") -> DataFrame:
@@ -120,7 +123,7 @@ def group_return(
     `members` is how many the set has, `used` how many counted.
     """
     at, price = F.col("received_at"), F.col("last_trade_price").cast("double")
-    regular = F.col("is_trade_eligible") & (session_phase(at) == REGULAR)
+    regular = F.col("is_trade_eligible") & in_regular_session(at)
     per_member = (
         quotes.withColumns({"__cutoff": cutoff, "__ok": regular})
         .filter(at <= F.col("__cutoff"))

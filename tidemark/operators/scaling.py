@@ -6,11 +6,11 @@ sources are the file sizes.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import shared_root
+
 MIB = 1024 * 1024
 
 
@@ -26,16 +26,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only a session that
-    names none (a local test) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -49,13 +43,3 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     """
     others = [name for name in df.columns if name not in names]
     return df.select(*others, F.inline(F.array(F.struct(*names))))
-
-
-def shared_folder(spark) -> str:
-    """A fresh folder under the cluster's checkpoint folder (a local one in tests)."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -117,6 +117,10 @@ def build_cohort(
             F.min(given_order).alias("rank_score")
         )
         order = [F.col("rank_score").asc(), F.col("symbol").asc()]
+        # A session has at most one row per listed symbol, so its window is bounded.
+        unique = unique.withColumn(
+            "__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        )
     head = policy.core + policy.boundary
     top = (
         unique.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -135,7 +139,12 @@ def build_cohort(
         .withColumn("__key", key)
         .withColumn("rank", F.row_number().over(drawn))
         .filter(F.col("rank") <= policy.diversity)
-        .select(*by, "symbol", (F.col("rank") + head).alias("rank"), F.lit("diversity").alias("bucket"))
+        .select(
+            *by,
+            "symbol",
+            (F.col("rank") + head if given_order is None else F.col("__place")).alias("rank"),
+            F.lit("diversity").alias("bucket"),
+        )
     )
     members = top.unionByName(diversity)
     reason = F.lit(None).cast("string")

@@ -84,6 +84,10 @@ def daily_decision(
     )
 
 
+#: How the universe names a sector that it does not know.
+UNKNOWN_SECTOR = "UNKNOWN"
+
+
 def session_verdict(decision: DataFrame) -> DataFrame:
     """TRADE with the primary symbol, or NO TRADE with the reason, per session."""
     return decision.groupBy("session").agg(
@@ -95,6 +99,10 @@ def session_verdict(decision: DataFrame) -> DataFrame:
 
 
 def sector_peers(returns: DataFrame) -> DataFrame:
-    """Mean return of the sector joined back to each symbol (symbol, sector, own_return)."""
-    means = returns.groupBy("sector").agg(F.avg("own_return").alias("sector_return"))
+    """Mean return of the sector joined back to each symbol (symbol, sector, own_return).
+
+    A symbol whose sector is not known has no peers, so its sector return is null.
+    """
+    named = returns.filter(F.upper(F.trim("sector")) != UNKNOWN_SECTOR)
+    means = named.groupBy("sector").agg(F.avg("own_return").alias("sector_return"))
     return returns.join(means, "sector", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -18,7 +18,7 @@ sql_view(
     """
     SELECT d.doc_id, ['news', 'filing', 'macro', 'social'][1 + CAST(d.doc_id % 4 AS INTEGER)] AS kind,
            CASE WHEN d.doc_id % 5 = 0 THEN 'gdelt' ELSE d.source END AS provider,
-           'doc:' || (d.doc_id - d.doc_id % 12) AS external_id, split_part(d.text, chr(10), 1) AS title,
+           'doc:' || (d.doc_id - d.doc_id % 12) AS external_id, d.text AS title,
            epoch_us(TIMESTAMP '2024-01-01') + d.doc_id * 60000000 AS source_us,
            epoch_us(TIMESTAMP '2024-01-01') + (d.doc_id + d.doc_id % 30) * 60000000 AS received_us,
            CASE WHEN d.doc_id % 7 = 0 THEN []::VARCHAR[]
@@ -69,7 +69,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         F.get(F.array(*[F.lit(k) for k in ("news", "filing", "macro", "social")]), (key % 4).cast("int")).alias("kind"),
         F.when(key % 5 == 0, "gdelt").otherwise(F.col("source")).alias("provider"),
         F.concat(F.lit("doc:"), (key - key % 12).cast("string")).alias("external_id"),
-        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("title"),
         minutes(key).alias("source_at"),
         minutes(key + key % 30).alias("received_at"),
         F.when(key % 7 == 0, F.array().cast("array<string>"))
@@ -110,7 +110,8 @@ sql_view(
     """,
     "keyed",
 )
-CUTOFF_SQL = "(epoch_us(TIMESTAMP '2024-01-01') + 700::BIGINT * 60000000)"
+#: Seven tenths of the time from the first record received to the last one.
+CUTOFF_SQL = """(SELECT min(received_us) + (max(received_us) - min(received_us)) // 600000000 * 7 * 60000000 FROM records)"""
 sql_view(
     "known",
     f"""
@@ -131,10 +132,12 @@ sql_view(
 )
 
 
-def cutoff():
-    return F.timestamp_micros(
-        F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.lit(700 * 60_000_000)
-    )
+def cutoff(spark: SparkSession, folder: str) -> Column:
+    """Seven tenths of the time from the first record received to the last one."""
+    minute = F.col("doc_id") + F.col("doc_id") % 30
+    first, last = F.min(minute), F.max(minute)
+    at = F.expr("unix_micros(TIMESTAMP'2024-01-01')") + (first + F.floor((last - first) / 10) * 7) * 60_000_000
+    return table(spark, folder, "documents").agg(F.timestamp_micros(at)).scalar()
 
 
 def _prepared(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,7 +147,7 @@ def _prepared(spark: SparkSession, folder: str) -> DataFrame:
 def _known(spark: SparkSession, folder: str) -> DataFrame:
     prepared = _prepared(spark, folder)
     return context.known_records(
-        context.merge_content(prepared), context.merge_associations(prepared), cutoff()
+        context.merge_content(prepared), context.merge_associations(prepared), cutoff(spark, folder)
     )
 
 
@@ -280,7 +283,7 @@ def context_scores(spark: SparkSession, folder: str) -> DataFrame:
     known = _known(spark, folder)
     symbols = known.filter(F.col("symbol").isNotNull()).select("symbol").distinct()
     out = context.context_scores(
-        known, symbols, cutoff(), positive=POSITIVE, negative=NEGATIVE
+        known, symbols, cutoff(spark, folder), positive=POSITIVE, negative=NEGATIVE
     )
     names = ("news_score", "social_score", "fundamental_score", "macro_score")
     return out.select(

@@ -9,7 +9,7 @@ from tidemark.functions import calendar as cal
 from tidemark.operators import coverage, extended, outcomes, quality
 from tidemark.operators import features as feature_ops
 from tidemark.policies import ExecutionProfile, ExtendedThresholds, FeatureWindows
-from tidemark.registry.core import query, sql_view
+from tidemark.registry.core import query, sql_view, table
 from tidemark.registry.views import bars, day_text, plans, quotes, quotes_dense, us
 
 ET = "timezone('America/New_York', timezone('UTC', make_timestamp({})))"
@@ -237,6 +237,20 @@ def retention(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+sql_view(
+    "sessions",
+    """
+    SELECT d AS session_date, strftime(d, '%Y-%m-%d') AS session,
+           CAST(epoch_us(d) AS BIGINT) AS day_us
+    FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) - INTERVAL 10 DAY FROM events),
+                                        (SELECT date_trunc('day', max(ts)) + INTERVAL 10 DAY FROM events), INTERVAL 1 DAY)) AS d)
+    WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN (
+      '2023-11-23', '2023-12-25', '2024-01-01', '2024-01-15', '2024-02-19', '2024-03-29', '2024-05-27', '2024-06-19',
+      '2024-07-04', '2024-09-02', '2024-11-28', '2024-12-25', '2025-01-01', '2025-01-09', '2025-01-20')
+    """,
+)
+
+
 RETURN_SQL = """
 WITH known AS (
   SELECT *, length(symbol) % 2 AS grp, event_id % 9 <> 0 AS ok,
@@ -244,7 +258,8 @@ WITH known AS (
   FROM (SELECT *, received_us // 86400000000 * 86400000000 AS day_us FROM quotes_dense)
   WHERE received_us <= day_us + 68400000000),
 flagged AS (
-  SELECT *, ok AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960 AS good
+  SELECT *, ok AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960
+    AND strftime(et, '%Y-%m-%d') IN (SELECT session FROM sessions) AS good
   FROM (SELECT *, {et} AS et FROM known)),
 per AS (
   SELECT grp, session, symbol, count_if(good) AS n,
@@ -275,6 +290,7 @@ def _group_return(spark: SparkSession, folder: str, strict: bool) -> DataFrame:
     "benchmark_return",
     RETURN_SQL.format(et=ET.format("received_us"), keep="count(r) = count(*)"),
     "quotes_dense",
+    "sessions",
 )
 def benchmark_return(spark: SparkSession, folder: str) -> DataFrame:
     return _group_return(spark, folder, True)
@@ -284,6 +300,7 @@ def benchmark_return(spark: SparkSession, folder: str) -> DataFrame:
     "sector_return",
     RETURN_SQL.format(et=ET.format("received_us"), keep="count(r) > 0"),
     "quotes_dense",
+    "sessions",
 )
 def sector_return(spark: SparkSession, folder: str) -> DataFrame:
     return _group_return(spark, folder, False)
@@ -291,20 +308,12 @@ def sector_return(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- calendar and coverage ----------------------------------------------------------
 
-sql_view(
-    "sessions",
-    """
-    SELECT d AS session_date, strftime(d, '%Y-%m-%d') AS session,
-           CAST(epoch_us(d) AS BIGINT) AS day_us
-    FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-26', TIMESTAMP '2024-02-05',
-                                        INTERVAL 1 DAY)) AS d)
-    WHERE isodow(d) < 6 AND strftime(d, '%Y-%m-%d') NOT IN ('2024-01-01', '2024-01-15')
-    """,
-)
-
-
-def sessions(spark: SparkSession) -> DataFrame:
-    return cal.trading_calendar(spark, "2023-12-26", "2024-02-05")
+def sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions over the whole span of the events, with a margin for neighbours."""
+    events = table(spark, folder, "events")
+    first = events.agg(F.date_sub(F.to_date(F.min("ts")), 10)).scalar()
+    last = events.agg(F.date_add(F.to_date(F.max("ts")), 10)).scalar()
+    return cal.trading_calendar(spark, first, last)
 
 
 @query(
@@ -325,7 +334,7 @@ FROM first_last f JOIN used USING (session)
 def trading_days(spark: SparkSession, folder: str) -> DataFrame:
     """Calendar rows of the sessions on which events occur."""
     used = quotes_dense(spark, folder).select(F.col("session_date").alias("session")).distinct()
-    return sessions(spark).join(used, "session").select(
+    return sessions(spark, folder).join(used, "session").select(
         day_text("session").alias("session"),
         day_text("previous_session").alias("previous_session"),
         "last_of_month",
@@ -448,8 +457,6 @@ sql_view(
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.registry.core import table
-
     line = table(spark, folder, "lineitem")
     codes = F.array(*[F.lit(code) for code in ("@", "F", "T", "B", "C", "Z", "?")])
     return line.select(
@@ -476,9 +483,9 @@ def bar_eligible_trades(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "sparse_gaps",
     """
-WITH t AS (SELECT DISTINCT symbol, session, received_us // 3600000000 * 3600000000 AS start_us
-           FROM (SELECT 'view' AS symbol, session, received_us, event_id FROM quotes_dense
-                 WHERE symbol <> 'view') WHERE event_id % 4 = 0),
+WITH t AS (SELECT DISTINCT other.symbol, session, received_us // 3600000000 * 3600000000 AS start_us
+           FROM quotes_dense q, (SELECT DISTINCT symbol FROM quotes_dense) other
+           WHERE other.symbol <> q.symbol AND event_id % 4 = 0),
 gap AS (SELECT * FROM grid ANTI JOIN bars USING (symbol, session, start_us)),
 contradicted AS (SELECT DISTINCT symbol, session FROM gap SEMI JOIN t USING (symbol, session, start_us)),
 hole AS (SELECT symbol, session FROM bars
@@ -492,9 +499,11 @@ FROM (SELECT s.*, n > 0 AND missing > 0 AND h.symbol IS NULL AND c.symbol IS NUL
     "quotes_dense",
 )
 def sparse_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Gaps nobody traded in: other symbols' ticks stand in for trade prints of `view`."""
-    prints = quotes_dense(spark, folder).filter(F.col("symbol") != "view").select(
-        F.lit("view").alias("symbol"),
+    """Gaps nobody traded in: the other symbols' ticks stand in for a symbol's trade prints."""
+    ticks = quotes_dense(spark, folder)
+    named = ticks.agg(F.collect_set("symbol")).scalar()  # one entry per listed symbol
+    prints = ticks.select(
+        F.explode(F.array_remove(named, F.col("symbol"))).alias("symbol"),
         F.col("received_at").alias("traded_at"),
         (F.col("event_id") % 4 == 0).alias("creates_bar"),
     )
@@ -572,7 +581,7 @@ sql_view(
 
 def _phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return extended.phase_metrics(bars(spark, folder)).join(
-        sessions(spark).select(F.col("session").alias("session_date")), "session_date", "left_semi"
+        sessions(spark, folder).select(F.col("session").alias("session_date")), "session_date", "left_semi"
     )
 
 
@@ -585,7 +594,7 @@ def _phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
     "phase_rows",
 )
 def phase_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    metrics = extended.with_gap(_phase_metrics(spark, folder), sessions(spark))
+    metrics = extended.with_gap(_phase_metrics(spark, folder), sessions(spark, folder))
     return metrics.select(
         "symbol", day_text("session_date").alias("session"), "phase", "active_minutes",
         F.round("dollar_volume", 4).alias("dollar_volume"),
@@ -613,7 +622,7 @@ sql_view(
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return extended.session_evidence(_phase_metrics(spark, folder), sessions(spark))
+    return extended.session_evidence(_phase_metrics(spark, folder), sessions(spark, folder))
 
 
 @query(

@@ -139,9 +139,9 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "bar_metrics",
     """
-WITH days AS (SELECT DISTINCT day FROM daily_bars WHERE year(day) = 1997),
+WITH days AS (SELECT DISTINCT day FROM daily_bars),
 b AS (SELECT * FROM daily_bars WHERE day IN (SELECT day FROM days) AND close > 0 AND volume > 0 AND low > 0)
-SELECT symbol, round(arg_max(close, day), 6) AS last_close, CAST(count(DISTINCT day) AS BIGINT) AS sessions,
+SELECT symbol, round(arg_max(close, day), 9) AS last_close, CAST(count(DISTINCT day) AS BIGINT) AS sessions,
        round(median(close * volume), 4) AS median_dollar_volume,
        round(median((high - low) / close), 8) AS volatility,
        round(least(1, count(DISTINCT day) / (SELECT count(*) FROM days)), 8) AS coverage_ratio
@@ -151,10 +151,10 @@ FROM b GROUP BY symbol
 )
 def bar_metrics(spark: SparkSession, folder: str) -> DataFrame:
     bars = daily_bars(spark, folder)
-    days = bars.filter(F.year("session_date") == 1997).select("session_date").distinct()
+    days = bars.select("session_date").distinct()
     return universe.bar_metrics(bars, days).select(
         "symbol",
-        F.round("last_close", 6).alias("last_close"),
+        F.round("last_close", 9).alias("last_close"),
         "sessions",
         F.round("median_dollar_volume", 4).alias("median_dollar_volume"),
         F.round("volatility", 8).alias("volatility"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit, classification, journal, monitoring, quality, sets
 from tidemark.operators.outcomes import barrier_outcomes
-from tidemark.operators.scaling import shared_folder
+from tidemark.shared import shared_folder
 from tidemark.plans.decision import daily_decision, sector_peers
 from tidemark.plans.reports import dataset_versions
 from tidemark.policies import StrategyPolicy
@@ -124,7 +124,7 @@ def trades_journal(spark: SparkSession, folder: str) -> DataFrame:
     "planned_vs_actual",
     """SELECT account, CAST(count(*) AS BIGINT) AS trades, CAST(count(exit_price) AS BIGINT) AS closed,
               round(sum((exit_price - entry_price) * quantity), 2) AS realized_pnl, round(min(entry_price - planned_entry), 6) AS least_slip
-       FROM trades_journal WHERE flag <> 'N' GROUP BY account""",
+       FROM trades_journal GROUP BY account""",
     "trades_journal",
 )
 def planned_vs_actual(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +133,7 @@ def planned_vs_actual(spark: SparkSession, folder: str) -> DataFrame:
         "snapshot_id", "symbol", "planned_entry", "planned_stop", "planned_target",
         "planned_quantity",
     )
-    made = rows.filter(F.col("flag") != "N").select(
+    made = rows.select(
         "snapshot_id", "symbol", "account", "entry_price", "exit_price", "quantity", "exit_reason"
     )
     joined = journal.planned_vs_actual(plan, made).join(
@@ -149,12 +149,12 @@ def planned_vs_actual(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "available_cash",
-    """WITH c AS (SELECT account, 5000 + coalesce(sum((exit_price - entry_price) * quantity), 0) AS cash FROM trades_journal WHERE flag <> 'N' GROUP BY account)
+    """WITH c AS (SELECT account, 5000 + coalesce(sum((exit_price - entry_price) * quantity), 0) AS cash FROM trades_journal GROUP BY account)
        SELECT account, round(cash, 2) AS cash, cash > 0 AS usable FROM c""",
     "trades_journal",
 )
 def available_cash(spark: SparkSession, folder: str) -> DataFrame:
-    made = trades_journal(spark, folder).filter(F.col("flag") != "N").withColumn(
+    made = trades_journal(spark, folder).withColumn(
         "realized_pnl", (F.col("exit_price") - F.col("entry_price")) * F.col("quantity")
     )
     return journal.available_cash(made, 5000.0).withColumn("cash", F.round("cash", 2))
@@ -163,7 +163,7 @@ def available_cash(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "open_position",
     """
-WITH t AS (SELECT account, count_if(exit_price IS NULL) AS o FROM trades_journal WHERE flag <> 'N' AND event_order % 97 = 0 GROUP BY account),
+WITH t AS (SELECT account, count_if(exit_price IS NULL) AS o FROM trades_journal GROUP BY account),
 e AS (SELECT account, arg_max(CASE WHEN flag = 'N' THEN 'entry' ELSE 'exit' END, (event_order, symbol)) AS k FROM trades_journal GROUP BY account)
 SELECT account, coalesce(o, 0) > 0 OR coalesce(k, '') = 'entry' AS has_open_position FROM t FULL JOIN e USING (account)
 """,
@@ -176,8 +176,7 @@ def open_position(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("flag") == "N", "entry").otherwise("exit").alias("kind"),
         F.struct("event_order", "symbol").alias("event_order"),
     )
-    manual = rows.filter((F.col("flag") != "N") & (F.col("event_order") % 97 == 0))
-    return journal.open_positions(manual, events)
+    return journal.open_positions(rows, events)
 
 
 sql_view(
@@ -424,7 +423,7 @@ def decision(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "sector_peers",
-    """SELECT symbol, round(avg(price / 100 - 1) OVER (PARTITION BY sector), 8) AS sector_return FROM candidates""",
+    """SELECT symbol, CASE WHEN upper(trim(sector)) <> 'UNKNOWN' THEN round(avg(price / 100 - 1) OVER (PARTITION BY sector), 8) END AS sector_return FROM candidates""",
     "candidates",
 )
 def peers(spark: SparkSession, folder: str) -> DataFrame:

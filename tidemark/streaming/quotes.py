@@ -17,6 +17,7 @@ from tidemark.operators.monitoring import (
     selected_quotes,
     with_return,
 )
+from tidemark.shared import ship_package
 
 WATERMARK = "10 minutes"
 
@@ -90,6 +91,7 @@ EXTREMES_SCHEMA = (
 
 def running_extremes(buckets: DataFrame) -> DataFrame:
     """Attach running extremes to streamed buckets with keyed state."""
+    ship_package(buckets.sparkSession)
     return buckets.groupBy("snapshot_id", "symbol").transformWithStateInPandas(
         statefulProcessor=RunningExtremes(),
         outputStructType=EXTREMES_SCHEMA,
