@@ -140,6 +140,9 @@ def near_duplicates(df: DataFrame, distance: int = 3) -> DataFrame:
     ids = classes.join(moved, "fp", "left").select(
         "fp", F.when(F.col("linked"), F.col("low")).otherwise(F.col("first_id")).alias("component_id")
     )
+    # Written, so that both sides of the last join are plain shuffles: Spark splits only those
+    # where one fingerprint has a large share of all rows.
+    ids = materialise(ids)
     return prints.join(ids, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
@@ -159,7 +162,8 @@ def representatives(df: DataFrame, distance: int = 3) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first")
     # A component is named by its smallest id; rows without any id stand for their own text.
     own = F.when(F.col("component_id").isNull(), F.col("fp"))
-    chosen = grouped.groupBy("component_id", own.alias("own")).agg(first).select("first.doc_id", "first.text_key").distinct()
+    chosen = grouped.groupBy("component_id", own.alias("own")).agg(first).select("first.doc_id", "first.text_key")
+    chosen = materialise(chosen.distinct())  # a plain side, as above
     keyed = df.select(F.struct(*df.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     same = keyed["text_key"].eqNullSafe(chosen["text_key"]) & keyed["doc_id"].eqNullSafe(chosen["doc_id"])
     kept = keyed.join(chosen, same, "left_semi")
