@@ -23,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import materialise
+
 # Host rules, longest fitting one wins.
 HOST_RULES = [
     ("block", "net", "/"),
@@ -148,7 +150,8 @@ def filtered(
     decided = candidates.groupBy("url").agg(
         F.max(F.when(is_host, longest)).alias("by_host"), F.min(F.when(~is_host, first)).alias("by_pattern")
     )
-    return urls.join(decided, "url", "left").select(
+    # Written, so that both sides of the join are plain shuffles and Spark can split a hot url.
+    return urls.join(materialise(decided), "url", "left").select(
         "page_id",
         "host",
         "path",
