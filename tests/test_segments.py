@@ -82,21 +82,42 @@ def test_asof_equals_merge_asof(spark, direction, minutes):
         assert (value is None and pd.isna(want[key])) or value == want[key]
 
 
-def test_segment_width_follows_the_input_size():
-    sizes = {1 * 2**20: None, 2**30: 240, 20 * 2**30: 30, 2**40: 1}
-
-    class Fake:
-        pass
-
-    for size, minutes in sizes.items():
-        from tidemark.operators import segments
-
-        original = segments.estimated_bytes
-        segments.estimated_bytes = lambda df, size=size: size
-        try:
-            assert Segmentation.for_input(Fake()).minutes == minutes
-        finally:
-            segments.estimated_bytes = original
+def largest_segment(df, keys, cut):
+    parts = df.groupBy(*keys, cut.of(F.col("t")).alias("s")).count()
+    return parts.agg(F.max("count")).first()[0]
+
+
+def test_width_follows_the_counts(spark):
+    # One key holds nine tenths of the rows, most of them within one minute.
+    rows = [("hot", i * 1_000) for i in range(40_000)] + [("hot", i * 60_000_000) for i in range(5_000)]
+    rows += [(f"k{i % 50}", i * 60_000_000) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "symbol string, t long")
+    for limit in (500, 5_000):
+        cut = Segmentation.for_input(df, ["symbol"], F.col("t"), rows=limit)
+        assert largest_segment(df, ["symbol"], cut) <= limit * 1.6  # rows are not spread evenly inside a minute
+    even = df.where("symbol <> 'hot'")
+    whole = Segmentation.for_input(even, ["symbol"], F.col("t"))
+    assert even.select(whole.of(F.col("t")).alias("s")).distinct().count() == 1
+    ordinals = Segmentation.for_input(df.withColumn("t", F.col("t") * 0 + 1), ["symbol"], F.col("t"), cell=1)
+    assert df.select(ordinals.of(F.lit(999_999)).alias("s")).first().s == 999_999 // max(1, 1_000_000 // 45_000)
+    none = Segmentation.for_input(df.limit(0), ["symbol"], F.col("t"))
+    assert df.limit(0).select(none.of(F.col("t")).alias("s")).count() == 0
+
+
+def test_small_left_side_reduces_a_large_right_side(spark):
+    right = spark.range(50_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"),
+        F.timestamp_micros(F.col("id") * 1_000_000).alias("at"),
+        F.col("id").alias("v"),
+    )
+    left = spark.range(30).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 100_000_000).alias("when"))
+    got = asof_join(left, right, by=["k"], left_time="when", right_time="at", values=["v"])
+    rows = got.collect()
+    assert len(rows) == 30
+    for row in rows:
+        second = int(row.when.timestamp())
+        want = second if second % 10 else second - 1
+        assert row.v == (want if want >= 0 else None)
 
 
 def test_positions_and_medians_of_a_hot_group(spark):

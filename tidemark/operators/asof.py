@@ -30,23 +30,28 @@ def asof_join(
     if direction not in {"backward", "forward"}:
         raise ValueError("direction must be backward or forward")
     sign = 1 if direction == "backward" else -1
-    segmentation = segmentation or Segmentation.for_input(left)
     payload = F.struct(F.col(right_time), *[F.col(name) for name in values])
 
     def ordered(frame: DataFrame, time: str) -> Column:
         return (F.unix_micros(F.col(time).cast("timestamp")) * sign).cast("long")
 
-    # One row per (by, time) on the right keeps the order total.
-    lookup = (
-        right.filter(F.col(right_time).isNotNull())
-        .select(*by, ordered(right, right_time).alias("__o"), payload.alias("__match"))
-        .groupBy(*by, "__o")
-        .agg(F.max("__match").alias("__match"))
-    )
     needles = left.withColumn("__o", ordered(left, left_time))
+    # Right rows of other keys, or beyond a key's last left row, can match nothing.
+    reach = needles.groupBy(*[F.col(name).alias(f"__k{i}") for i, name in enumerate(by)]).agg(
+        F.max("__o").alias("__reach")
+    )
+    lookup = right.filter(F.col(right_time).isNotNull()).select(
+        *by, ordered(right, right_time).alias("__o"), payload.alias("__match")
+    )
+    same = F.col("__o") <= F.col("__reach")
+    for i, name in enumerate(by):
+        same = same & F.col(name).eqNullSafe(F.col(f"__k{i}"))
+    # One row per (by, time) on the right keeps the order total.
+    lookup = lookup.join(reach, same, "left_semi").groupBy(*by, "__o").agg(F.max("__match").alias("__match"))
     both = lookup.withColumn("__side", F.lit(0)).unionByName(
         needles.withColumn("__side", F.lit(1)), allowMissingColumns=True
     )
+    segmentation = segmentation or Segmentation.for_input(both, by, F.col("__o"))
     series = KeyedSeries(both, by, ["__o", "__side"], segmentation)
     series.accumulate(lasts={"__found": F.when(F.col("__side") == 0, F.col("__match"))})
     matched = series.finish().filter(F.col("__side") == 1)

@@ -33,7 +33,9 @@ def with_volume_delta(
     segmentation: Segmentation | None = None,
     name: str = "volume_delta",
 ) -> DataFrame:
-    segmentation = segmentation or Segmentation.for_input(samples)
+    segmentation = segmentation or Segmentation.for_input(
+        samples, keys, F.unix_micros("received_at")
+    )
     series = KeyedSeries(
         samples.withColumn("__us", F.unix_micros("received_at")),
         keys,

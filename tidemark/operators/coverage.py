@@ -91,7 +91,9 @@ def coverage_status(
     """
     frame = bars
     if ordinal is not None:
-        series = KeyedSeries(bars, KEY, [ordinal], Segmentation.for_input(bars), halo=1)
+        # The ordinal counts rows, so its cell is one.
+        cut = Segmentation.for_input(bars, KEY, F.col(ordinal), cell=1)
+        series = KeyedSeries(bars, KEY, [ordinal], cut, halo=1)
         series.with_columns({"__back": F.lag("start").over(series.local) > F.col("start")})
         frame = series.finish()
     else:

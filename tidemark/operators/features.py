@@ -99,7 +99,11 @@ def opening_range_check(df: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 def _relative_strength(
-    frame: DataFrame, benchmark: DataFrame, name: str, segmentation: Segmentation
+    frame: DataFrame,
+    benchmark: DataFrame,
+    name: str,
+    segmentation: Segmentation,
+    asof_cut: Segmentation | None,
 ) -> DataFrame:
     """Own return since the first row minus the as-of benchmark return since then."""
     lookup = benchmark.select(
@@ -114,7 +118,7 @@ def _relative_strength(
         left_time="received_at",
         right_time="__b_at",
         values=["__b_price"],
-        segmentation=segmentation,
+        segmentation=asof_cut,
     )
     series = KeyedSeries(joined, KEYS, ["__us"], segmentation)
     series.accumulate(
@@ -151,7 +155,11 @@ def market_features(
     sees the opening range up to itself (point-in-time replay of every prefix).
     """
     windows = windows or FeatureWindows()
-    segmentation = segmentation or Segmentation.for_input(samples)
+    # The as-of joins have other keys; unless a fixed cut is given, each finds its own width.
+    asof_cut = segmentation if segmentation and segmentation.minutes else None
+    segmentation = segmentation or Segmentation.for_input(
+        samples, KEYS, F.unix_micros("received_at")
+    )
     frame = prepare_observations(samples, as_of)
     at = market_time(frame)
     inside = _in_opening_range(at, windows.opening_range_minutes)
@@ -231,7 +239,7 @@ def market_features(
             out = out.withColumn(name, F.lit(None).cast("double"))
         else:
             out = _relative_strength(
-                out, prepare_observations(benchmark, as_of), name, segmentation
+                out, prepare_observations(benchmark, as_of), name, segmentation, asof_cut
             )
     return out.drop("__us", "__or_high", "__or_low", "__return", "__prior", "__pv", "__first")
 

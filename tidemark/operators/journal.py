@@ -37,7 +37,7 @@ def ledger_audit(
             "__flow": -quantity * F.col("price") - F.col("fees"),
         }
     )
-    segmentation = segmentation or Segmentation.for_input(frame)
+    segmentation = segmentation or Segmentation.for_input(frame, [account], F.col("__us"))
     series = KeyedSeries(frame, [account], ["__us", "sequence", *order_tie], segmentation)
     series.accumulate(sums={"__cash": F.col("__flow"), "position": F.col("__signed")})
     before_cash = F.lit(float(starting_cash)) + F.col("__cash") - F.col("__flow")

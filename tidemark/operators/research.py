@@ -59,7 +59,7 @@ def max_drawdown(
             "__log": F.when(F.col(value) > -1, F.log1p(value)).otherwise(F.lit(0.0)),
         }
     )
-    segmentation = segmentation or Segmentation.for_input(frame)
+    segmentation = segmentation or Segmentation.for_input(frame, group, F.col("__us"))
     order = ["__us", *tie_break]
     series = KeyedSeries(frame, group, order, segmentation)
     series.accumulate(sums={"__equity": F.col("__log")})

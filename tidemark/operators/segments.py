@@ -1,16 +1,16 @@
 """Ordered computations over keyed series whose keys may be arbitrarily large.
 
-A window over `(symbol, session)` puts a whole key into one task. That is fine while the
-input is provably small, but one hot key may hold a third of a very large table. A
-`Segmentation` therefore cuts every key along its order column into time segments, and
-`KeyedSeries` makes ordered results exact across the cuts:
+A window over `(symbol, session)` puts a whole key into one task, and one hot key may hold a
+third of a very large table. A `Segmentation` therefore cuts every key along its order column
+into segments of about equal, bounded numbers of rows, and `KeyedSeries` makes ordered results
+exact across the cuts:
 
 * trailing frames (`lag`, the previous n rows) see a *halo*: copies of the last n rows before
   the segment, flagged and dropped at the end;
 * running results add a *carry*: one small row per segment with the totals of all earlier
   segments, joined back on `(keys, segment)`, never on the hot key alone.
 
-The number of segments per key is bounded by the calendar, not by the number of rows.
+There is one path for inputs of every size; where few rows exist, a key is one segment.
 """
 
 from __future__ import annotations
@@ -22,50 +22,57 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scaling import MIB, estimated_bytes
-
 SEGMENT = "__segment"
 GHOST = "__ghost"
 MICROS_PER_MINUTE = 60_000_000
+#: Rows that a segment should hold at most.
+SEGMENT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Segmentation:
-    """Width of a segment in minutes of the order column; `None` keeps each key whole."""
+    """Where keys are cut: by a fixed number of minutes, or by a width found from counts."""
 
     minutes: int | None = None
-
-    # A whole key is only kept together when the complete input is below this size.
-    WHOLE_KEY_BYTES = 64 * MIB
-    # Otherwise a segment should hold about this much of the hottest key.
-    SEGMENT_BYTES = 256 * MIB
-    # Assumed worst case: a third of the input belongs to one key on one day.
-    HOT_SHARE = 3
-    LADDER = (240, 120, 60, 30, 15, 5, 1)
+    width: Column | None = None
 
     @classmethod
-    def for_input(cls, df: DataFrame) -> Segmentation:
-        """Choose the width from the input's estimated size (no job is run)."""
-        size = estimated_bytes(df)
-        if size <= cls.WHOLE_KEY_BYTES:
-            return cls(None)
-        needed = max(1, size // cls.HOT_SHARE // cls.SEGMENT_BYTES)
-        for minutes in cls.LADDER:
-            if 1440 // minutes >= needed:
-                return cls(minutes)
-        return cls(cls.LADDER[-1])
-
-    def of(self, order_micros: Column) -> Column:
-        if self.minutes is None:
-            return F.lit(0).cast("long")
-        return F.floor(order_micros / F.lit(self.minutes * MICROS_PER_MINUTE)).cast("long")
+    def for_input(
+        cls,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Column,
+        *,
+        cell: int = MICROS_PER_MINUTE,
+        rows: int = SEGMENT_ROWS,
+    ) -> Segmentation:
+        """Width from the rows really present, as a scalar subquery over counts.
+
+        Rows are counted per key and cell of the order column (a minute of microseconds unless
+        said otherwise). The fullest cell sets the width: as many cells as fit `rows`, or a
+        part of a cell where one alone holds more.
+        """
+        counts = df.groupBy(*keys, F.floor(order / F.lit(cell)).alias("__cell")).agg(
+            F.count("*").alias("__n")
+        )
+        fullest = F.max("__n")
+        width = F.when(fullest <= rows, F.floor(F.lit(rows) / fullest) * cell).otherwise(
+            F.greatest(F.lit(1), F.floor(F.lit(cell) / F.ceil(fullest / rows)))
+        )
+        return cls(None, counts.agg(F.coalesce(width, F.lit(cell)).cast("long")).scalar())
+
+    def of(self, order: Column) -> Column:
+        if self.width is not None:
+            return F.floor(order / self.width).cast("long")
+        if self.minutes is not None:
+            return F.floor(order / F.lit(self.minutes * MICROS_PER_MINUTE)).cast("long")
+        return F.lit(0).cast("long")
 
 
 class KeyedSeries:
     """A DataFrame of series identified by `keys` and ordered by `order`.
 
-    `order` are column names; the first must be a long in microseconds when the series is
-    segmented. Order values must be unique inside a key for a deterministic result.
+    `order` are column names; the first must be a long in the unit of the segmentation. Order values must be unique inside a key for a deterministic result.
     """
 
     def __init__(
@@ -80,7 +87,6 @@ class KeyedSeries:
         self.keys = list(keys)
         self.order = list(order)
         self.segmentation = segmentation
-        self.whole = segmentation.minutes is None
         frame = df.withColumn(SEGMENT, segmentation.of(F.col(self.order[0])))
         self.df = self._with_halo(frame, halo)
 
@@ -97,7 +103,7 @@ class KeyedSeries:
         return self.local.rowsBetween(first, last)
 
     def _with_halo(self, frame: DataFrame, rows: int) -> DataFrame:
-        if self.whole or rows == 0:
+        if rows == 0:
             return frame.withColumn(GHOST, F.lit(False))
         columns = frame.columns
         newest = Window.partitionBy(*self.keys, SEGMENT).orderBy(
@@ -178,9 +184,6 @@ class KeyedSeries:
         def source(name: str) -> Column:
             return F.col(f"__in_{name}")
 
-        everything = Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order).rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing
-        )
         local: dict[str, Column] = {}
         for name in kinds["sum"]:
             local[name] = F.sum(source(name)).over(self.running)
@@ -190,21 +193,6 @@ class KeyedSeries:
             local[name] = F.min(source(name)).over(self.running)
         for name in kinds["last"]:
             local[name] = F.last(source(name), ignorenulls=True).over(self.running)
-        if self.whole:
-            for name in kinds["first"]:
-                local[name] = F.first(source(name)).over(self.running)
-            for name in kinds["key_max"]:
-                local[name] = F.max(source(name)).over(everything)
-            for name in kinds["key_min"]:
-                local[name] = F.min(source(name)).over(everything)
-            for name, span in spans.items():
-                seed = F.first(F.col(f"__x_{name}")).over(self.running)
-                local[name] = F.col(f"__e_{name}") + _past_weight(span) * seed
-            self.df = frame.withColumns(local).drop(
-                *[f"__in_{name}" for name in inputs], *self._ema_columns(spans)
-            )
-            return self
-
         at = F.struct(*self.order)
         totals = []
         for name in kinds["sum"]:

@@ -126,7 +126,7 @@ def pit_replay_features(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.operators.segments import KeyedSeries, Segmentation
 
     samples = quotes_dense(spark, folder)
-    cut = Segmentation.for_input(samples)
+    cut = Segmentation.for_input(samples, feature_ops.KEYS, F.unix_micros("received_at"))
     features = feature_ops.market_features(
         samples,
         windows=FeatureWindows(opening_range_minutes=30),

@@ -135,7 +135,7 @@ SELECT event_id, symbol, received_us, round(ema, 6) AS ema FROM walk
 )
 def ema9(spark: SparkSession, folder: str) -> DataFrame:
     df = quotes_dense(spark, folder).withColumn("__us", F.unix_micros("received_at"))
-    series = KeyedSeries(df, feature_ops.KEYS, ["__us"], Segmentation.for_input(df))
+    series = KeyedSeries(df, feature_ops.KEYS, ["__us"], Segmentation.for_input(df, feature_ops.KEYS, F.col("__us")))
     series.ema("ema", F.col("last_trade_price"), FeatureWindows().ema_span)
     return series.finish().select(*key_columns(), F.round("ema", 6).alias("ema"))
 
