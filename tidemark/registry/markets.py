@@ -9,6 +9,7 @@ from tidemark.functions import calendar as cal
 from tidemark.operators import coverage, extended, outcomes, quality
 from tidemark.operators import features as feature_ops
 from tidemark.policies import ExecutionProfile, ExtendedThresholds, FeatureWindows
+from tidemark.plans import candidates
 from tidemark.registry.core import query, sql_view, table
 from tidemark.registry.views import bars, day_text, plans, quotes, quotes_dense, us
 
@@ -225,6 +226,24 @@ def latest_quotes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "watchlist_quotes",
+    """
+WITH latest AS (SELECT symbol, event_id FROM quotes QUALIFY row_number() OVER
+  (PARTITION BY symbol ORDER BY received_us DESC, event_id DESC) = 1)
+SELECT c_custkey AS position, symbol, event_id FROM customer JOIN latest ON symbol = 'U' || c_custkey""",
+    "quotes",
+)
+def watchlist_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest quotes of a watchlist that is written in another case and with blanks."""
+    wanted = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("position"),
+        F.concat(F.lit(" u"), F.col("c_custkey").cast("string")).alias("symbol"),
+    )
+    latest = quality.latest_quotes(quotes(spark, folder))
+    return candidates.watchlist_quotes(latest, wanted).select("position", "symbol", "event_id")
+
+
 @query(
     "retention",
     """SELECT session, CAST(count(*) AS BIGINT) AS kept FROM quotes
@@ -306,6 +325,33 @@ def sector_return(spark: SparkSession, folder: str) -> DataFrame:
     return _group_return(spark, folder, False)
 
 
+@query(
+    "decision_candidates",
+    f"""
+WITH q AS (SELECT *, {ET.format("received_us")} AS et, event_id % 9 <> 0 AS ok FROM quotes_dense),
+r AS (SELECT *, hour(et) * 60 + minute(et) AS m FROM q
+      WHERE ok AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960
+        AND strftime(et, '%Y-%m-%d') IN (SELECT session FROM sessions)),
+c AS (SELECT symbol, session, count(DISTINCT m) FILTER (m < 575) = 5 AND max(m) >= 575 AS covered FROM r GROUP BY ALL)
+SELECT symbol, session, CASE WHEN covered IS NULL THEN 'candidate:no_samples' WHEN NOT covered THEN 'candidate:opening_gap' END AS reason
+FROM (SELECT DISTINCT symbol, session FROM q) LEFT JOIN c USING (symbol, session)
+""",
+    "quotes_dense",
+    "sessions",
+)
+def decision_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw quotes to candidates: why each symbol may or may not enter the session's decision."""
+    samples = quotes_dense(spark, folder).withColumn("is_trade_eligible", F.col("event_id") % 9 != 0)
+    cutoff = F.col("session_date").cast("timestamp") + F.expr("INTERVAL 23 HOURS")
+    market = quality.group_return(samples, cutoff, strict=False).select(
+        "session_date", F.col("group_return").alias("benchmark_return")
+    )
+    identity = samples.select("symbol", F.substring("symbol", 1, 1).alias("sector")).distinct()
+    return candidates.candidate_rows(samples, market, identity).select(
+        "symbol", day_text("session_date").alias("session"), "reason"
+    )
+
+
 # ---- calendar and coverage ----------------------------------------------------------
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import audit, classification, journal, monitoring, quality, sets
 from tidemark.operators.outcomes import barrier_outcomes
 from tidemark.shared import shared_folder
+from tidemark.plans.candidates import unknown_symbols as unknown_members
 from tidemark.plans.decision import daily_decision, sector_peers
 from tidemark.plans.reports import dataset_versions
 from tidemark.policies import StrategyPolicy
@@ -509,6 +510,23 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "unknown_symbols",
+    """SELECT DISTINCT 'P' || l_partkey AS symbol, l_shipdate AS session FROM lineitem
+       WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)""",
+)
+def unknown_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """Traded symbols that the universe (here as many as there are suppliers) does not have."""
+    traded = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"),
+        F.col("l_shipdate").alias("session"),
+    )
+    members = table(spark, folder, "supplier").select(
+        F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("symbol")
+    )
+    return unknown_members(traded.distinct(), members)
+
+
 @query(
     "universe_check",
     """
