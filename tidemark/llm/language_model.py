@@ -5,9 +5,9 @@ texts. The lattice takes the pieces and scores of an existing vocabulary; one ro
 piece counts over all training words turns the scores into corpus probabilities. A text's score
 is the log probability of its words, each summed over all segmentations, and of its end.
 
-The `head` most frequent words (a fixed number) go to every task; the words of a text that are
-not among them are dealt out by word and meet their counts in a join, in which no word is
-frequent. Each text also sends one row under a key of its own, so no text is lost.
+Words with at least a share of 1 / `head` of all training tokens go to every task, which are at
+most `head` words at any size of the corpus; the other words of a text are dealt out by word and
+meet their counts in a join, in which no word is frequent. Each text also sends one row under a key of its own, so no text is lost.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from tidemark.llm.lattice import Lattice, piece_bytes, zipf
 from tidemark.llm.texts import bucket_of, gathered, map_batches, raw
 from tidemark.shared import materialise
 
-#: Words that every task knows; distinct words that a counting task holds before it passes
-#: them on; weight of the vocabulary's own scores against expected counts.
-HEAD = 100_000
+#: Every task knows the words that make at least 1 / HEAD of all training tokens, so there are
+#: at most HEAD of them; distinct words that a counting task holds before it passes them on;
+#: weight of the vocabulary's own scores against expected counts.
+HEAD = 1_000_000
 HELD_WORDS = 400_000
 #: Words whose lattices are computed together.
 WORDS_TOGETHER = 40_000
@@ -187,8 +188,8 @@ def score_texts(df: DataFrame, held_out, model_file: str, head: int = HEAD) -> D
         F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
     ).first()
     total, distinct, ends = (value or 0 for value in seen)
-    first = words.where("c > 0").orderBy(F.desc("c"), "word").limit(head).collect()
-    known = {bytes(row.word): (math.log10(row.c + 1), row.lp) for row in first}
+    first = words.where((F.col("c") > 0) & (F.col("c") * F.lit(head) >= F.lit(total)))
+    known = {bytes(row.word): (math.log10(row.c + 1), row.lp) for row in first.collect()}
     rows = _sparse(texts, known).join(words, "word", "left")
     summed = rows.groupBy("text").agg(
         F.max("doc").alias("doc"),
