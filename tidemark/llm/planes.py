@@ -36,7 +36,9 @@ BLOCK_IDS = 8_192
 CHUNK_IDS = 262_144
 END_ID = (0).to_bytes(4, "little")
 #: Distinct parts of texts whose ids a worker remembers.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 1_200_000
+#: Parts that are encoded as one line.
+LINE_PARTS = 2_000
 
 
 def pack(ids: np.ndarray, level: int = 3) -> bytes:
@@ -72,11 +74,13 @@ def unpack(data: bytes) -> np.ndarray:
     out = np.empty(size, "<u4")
     first = 0
     for count, used, lengths in blocks:
-        bits = np.zeros((32, count), np.uint8)
+        narrow = used < 1 << 16
+        bits = np.zeros((16 if narrow else 32, count), np.uint8)
         for k, length in zip((k for k in range(32) if used >> k & 1), lengths, strict=True):
             bits[k] = np.unpackbits(np.frombuffer(expand(data[at : at + length]), np.uint8), count=count)
             at += length
-        out[first : first + count] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").ravel()
+        whole = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        out[first : first + count] = whole.view("<u2" if narrow else "<u4").ravel()
         first += count
     return out
 
@@ -96,11 +100,33 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes | None] = {}
+        # A token of this vocabulary has one character per byte it stands for.
+        vocab = self.library.get_vocab()
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, number in vocab.items():
+            self.lengths[number] = len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", each.ids).tobytes() for each in coded]
 
+    def together(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each ` part`, encoded in long lines and cut apart where parts end.
+
+        No piece crosses the space before a part, so the bytes that ids stand for tell where
+        one part's ids end and the next one's start.
+        """
+        for first in range(0, len(parts), LINE_PARTS):
+            line = parts[first : first + LINE_PARTS]
+            coded = self.library.encode_batch_fast([f" {' '.join(line)}"], add_special_tokens=False)
+            ids = np.array(coded[0].ids, "<u4")
+            stops = np.cumsum([len(part.encode("utf-8")) + 1 for part in line])
+            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), stops) + 1) * 4
+            data, at = ids.tobytes(), 0
+            for cut in cuts.tolist():
+                yield data[at:cut]
+                at = cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
         parts = [text.split(" ") for text in texts]
@@ -108,7 +134,7 @@ class Encoder:
         new = list(set().union(*parts).difference(known))
         sound = [part for part in new if part and part == part.strip()]
         known.update(dict.fromkeys(new))
-        known.update(zip(sound, self.whole([f" {part}" for part in sound]), strict=True))
+        known.update(zip(sound, self.together(sound), strict=True))
         openings = self.whole([part[0] for part in parts])
         out = []
         for text, opening, part in zip(texts, openings, parts, strict=True):
