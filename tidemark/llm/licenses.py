@@ -1,7 +1,9 @@
 """License scan: base phrases, and templates found by an exact set-similarity join.
 
-A text block (a line) meets a template if it holds at least a threshold share of the template's
-distinct words (containment). Words are put in one global order, rarest in the corpus first:
+A text block meets a template if it holds at least a threshold share of the template's distinct
+words (containment). Blocks are lines and, for notices that are wrapped over lines, runs of the
+text's words that are at most a quarter longer than the template; overlapping windows hold every
+such run. Words are put in one global order, rarest in the corpus first:
 
 * prefix filter: a block that meets a template of t words with `need` of them shares one of the
   template's t - need + 1 rarest words, so only these are indexed;
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 THRESHOLD = 0.85
+#: Words of a run per word of the template, for notices over several lines.
+SLACK = 1.25
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -61,8 +66,6 @@ def words_of(text: Column) -> Column:
 
 
 def template_words(text: str) -> list[str]:
-    import re
-
     return sorted(set(re.findall(r"[0-9a-z]+", text.lower())))
 
 
@@ -92,7 +95,8 @@ def ordered_templates(texts: DataFrame, templates: list[tuple[str, str]], thresh
         words = sorted(template_words(text), key=place.__getitem__)
         # A hair is taken off so that an exact share is not lost to rounding.
         need = max(1, math.ceil(len(words) * threshold - 1e-9))
-        sets.append({"label": label, "words": words, "need": need})
+        span = math.ceil(len(re.findall(r"[0-9a-z]+", text.lower())) * SLACK)
+        sets.append({"label": label, "words": words, "need": need, "span": span})
     return order, sets
 
 
@@ -118,12 +122,18 @@ def scanned(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     places = F.struct(*[starts(phrase).alias(f"p{k}") for k, phrase in enumerate(BASE_PHRASES)])
     # Lines matter only in texts that have an indexed word at all.
     lines = F.when(F.arrays_overlap("w", strings(rare)), F.split("text", "\n")) if rare else F.lit(None)
+    # Every run of up to `span` words lies in one of the windows of twice that length. The lines
+    # serve texts of one line.
+    span = max((each["span"] for each in sets), default=1)
+    wrapped = F.expr(f"transform(sequence(0, greatest(size(w) - 1, 0), {span}), i -> slice(w, i + 1, {2 * span}))")
+    windows = F.when(F.arrays_overlap("w", strings(rare)) & F.contains("text", F.lit("\n")), wrapped) if rare else F.lit(None)
     narrow = phrases.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         places.alias("places"),
         F.filter(lines.cast("array<string>"), lambda line: F.arrays_overlap(words_of(line), strings(rare))).alias("lines"),
+        F.filter(windows.cast("array<array<string>>"), lambda window: F.arrays_overlap(window, strings(rare))).alias("windows"),
     )
     # Written once, so that a row keeps its number in both branches below.
     rows = materialise(narrow)
@@ -159,19 +169,22 @@ def scanned(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
 
 
 def matches(rows: DataFrame, order: list[str], sets: list[dict]) -> DataFrame:
-    """(row, met, share): labels of templates that a line of `rows(row, lines)` meets."""
+    """(row, met, share): labels of templates that a block of `rows(row, lines, windows)` meets."""
     index = [
-        {"word": word, "place": place, "label": each["label"], "need": each["need"], "words": each["words"]}
+        {"word": word, "place": place, "label": each["label"], "need": each["need"], "span": each["span"], "words": each["words"]}
         for each in sets
         for place, word in enumerate(each["words"][: len(each["words"]) - each["need"] + 1])
     ]
-    schema = "array<struct<word:string,place:int,label:string,need:int,words:array<string>>>"
+    schema = "array<struct<word:string,place:int,label:string,need:int,span:int,words:array<string>>>"
     indexed = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), schema)))
-    blocks = rows.select("row", F.explode("lines").alias("line")).select(
-        "row", F.array_intersect(strings(order), words_of(F.col("line"))).alias("block")
+    held = lambda words: F.array_intersect(strings(order), words).alias("block")
+    lines = rows.select("row", F.explode("lines").alias("line")).select(
+        "row", held(words_of(F.col("line"))), F.lit(None).cast("array<string>").alias("window")
     )
+    windows = rows.select("row", F.explode("windows").alias("window")).select("row", held(F.col("window")), "window")
+    blocks = lines.unionByName(windows)
     fewest = min(each["need"] for each in sets)
-    tokens = blocks.where(F.size("block") >= fewest).select("row", "block", F.posexplode("block").alias("at", "word"))
+    tokens = blocks.where(F.size("block") >= fewest).select("row", "block", "window", F.posexplode("block").alias("at", "word"))
     # The index has at most one row per word of a template, which is a parameter.
     pairs = tokens.join(F.broadcast(indexed), "word").where(
         (F.size("block") >= F.col("need"))
@@ -180,7 +193,12 @@ def matches(rows: DataFrame, order: list[str], sets: list[dict]) -> DataFrame:
             >= F.col("need")
         )
     )
-    overlap = F.size(F.array_intersect("block", "words"))
+    # Of a window counts the best run that is not much longer than the template.
+    overlap = F.expr(
+        """CASE WHEN size(array_intersect(block, words)) < need OR window IS NULL THEN size(array_intersect(block, words))
+            ELSE array_max(transform(sequence(0, greatest(size(window) - span, 0)),
+                i -> size(array_intersect(words, slice(window, i + 1, span))))) END"""
+    )
     counted = pairs.select("row", "label", "need", overlap.alias("shared"), F.size("words").alias("size"))
     return (
         counted.where("shared >= need")
