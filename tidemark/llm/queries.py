@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, language_model, licenses, planes, pseudonyms, quality_classifier, quality_rules, simhash, url_filters
+from tidemark.llm import byte_pairs, contamination, language_model, licenses, packing, planes, pseudonyms, quality_classifier, quality_rules, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,11 @@ def _bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     return planes.result(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_sum_of_squares")
+def _sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.result(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op5_quality_rules", quality_rules.ORACLE_SQL)
 def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.result(table(spark, folder, "documents"))
