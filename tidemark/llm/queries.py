@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_pairs, contamination, hard_negatives, language_model, licenses, packing, planes, pseudonyms, quality_classifier, quality_rules, simhash, url_filters
+from tidemark.llm import byte_pairs, contamination, conversations, hard_negatives, language_model, licenses, packing, planes, pseudonyms, quality_classifier, quality_rules, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def _cover_tree(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.result(table(spark, folder, "embeddings"))
 
 
+@query("op12_branch_and_bound")
+def _branch_and_bound(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.result(table(spark, folder, "conversations"))
+
+
 @query("op5_quality_rules", quality_rules.ORACLE_SQL)
 def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.result(table(spark, folder, "documents"))
