@@ -23,10 +23,12 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Rows of one tree; a forest has as many trees as it needs.
-TREE_ROWS = 2_048
+TREE_ROWS = 4_096
 #: Nodes of at most so many rows are leaves.
 LEAF_ROWS = 32
-#: Pivots by which rows are sorted into trees.
+#: Leaves of at most so many rows are verified together with the node above them.
+FEW_ROWS = 8
+#: Pivots by which rows are sorted into trees, at most.
 PIVOTS = 32
 #: Stands for a missing id, which comes last among equals.
 NO_ID = 2**63 - 1
@@ -49,12 +51,13 @@ def neighbourhoods(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         mine = points[rows]
         squared = np.einsum("ij,ij->i", mine, mine)
         best, owner, pivot = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), 0
-        for number in range(PIVOTS):  # the farthest row from all pivots is the next one
+        pivots = min(PIVOTS, 2 * len(rows) // TREE_ROWS)
+        for number in range(pivots):  # the farthest row from all pivots is the next one
             away = squared + squared[pivot] - 2.0 * (mine @ mine[pivot])
             closer = away < best
             best[closer], owner[closer] = away[closer], number
             pivot = int(best.argmax())
-        parts = [part for part in (rows[owner == number] for number in range(PIVOTS)) if len(part)]
+        parts = [part for part in (rows[owner == number] for number in range(pivots)) if len(part)]
         if max(map(len, parts)) > 0.9 * len(rows):  # equal rows or nearly so: any cut will do
             parts = [rows[first : first + TREE_ROWS] for first in range(0, len(rows), TREE_ROWS)]
         todo.extend(parts)
@@ -153,20 +156,28 @@ class Forest:
         self.largest = float(np.abs(vectors).max(initial=0.0))
         self.roots = np.array([start + tree.centre[0] for start, tree in self.trees], np.int64)
         self.root_radii = np.array([tree.radius[0] for _, tree in self.trees])
-        # For each inner node: its children, which of them are single rows, their centres and radii.
-        self.below = {}
-        for at, (start, tree) in enumerate(self.trees):
-            for number, children in tree.children.items():
-                alone = np.array([tree.last[child] - tree.first[child] == 1 for child in children])
-                rows = start + tree.centre[children]
-                self.below[at, number] = children, alone, rows, tree.radius[children]
-
-    def products(self, rows: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
+        self.below = {
+            (at, number): self._children(start, tree, children)
+            for at, (start, tree) in enumerate(self.trees)
+            for number, children in tree.children.items()
+        }
+
+    def _children(self, start: int, tree: Tree, children: np.ndarray) -> tuple:
+        """What a node's visit needs in one piece: the rows of its small leaves with their labels,
+        uids and ids, then the centres of its other children with their numbers and radii."""
+        small = [c not in tree.children and tree.last[c] - tree.first[c] <= FEW_ROWS for c in children.tolist()]
+        wide = children[~np.array(small)]
+        spans = [np.arange(tree.first[c], tree.last[c]) for c, few in zip(children.tolist(), small) if few]
+        rows = start + np.concatenate([*spans, np.zeros(0, np.int64)])
+        vectors = self.vectors[np.concatenate([rows, start + tree.centre[wide]])]
+        return vectors, (self.labels[rows], self.uids[rows], self.ids[rows]), wide.tolist(), tree.radius[wide]
+
+    def products(self, vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact inner products: in double precision while all sums stay below 2^53."""
         if self.largest * float(np.abs(query).max(initial=0.0)) * max(1, len(query)) < 2.0**53:
-            return self.vectors[rows] @ query
+            return vectors @ query
         whole = [int(x) for x in query]
-        sums = [sum(int(a) * b for a, b in zip(row, whole)) for row in self.vectors[rows]]
+        sums = [sum(int(a) * b for a, b in zip(row, whole)) for row in vectors]
         return np.array([*sums, None], object)[:-1]
 
     def bounds(self, products: np.ndarray, radius: np.ndarray, query: float) -> tuple[np.ndarray, np.ndarray]:
@@ -189,32 +200,36 @@ class Forest:
         def least() -> float:
             return min(window.floor() for window in windows)
 
-        def verify(rows: np.ndarray | slice, products: np.ndarray) -> None:
+        def verify(products: np.ndarray, labels: np.ndarray, uids: np.ndarray, ids: np.ndarray) -> None:
             nonlocal met
             met += len(products)
-            keep = np.flatnonzero(allowed(self.labels[rows], self.uids[rows]) & (products >= least()))
+            keep = np.flatnonzero(products >= least())
+            keep = keep[allowed(labels[keep], uids[keep])]
             if len(keep):
-                ids, uids = self.ids[rows][keep], self.uids[rows][keep]
                 for window in windows:
-                    window.take(products[keep], ids, uids)
+                    window.take(products[keep], ids[keep], uids[keep])
 
-        lows, highs = self.bounds(self.products(self.roots, query).astype(float), self.root_radii, norm)
+        roots = self.products(self.vectors[self.roots], query).astype(float)
+        lows, highs = self.bounds(roots, self.root_radii, norm)
         heap = [(-high, at, 0, low) for at, (low, high) in enumerate(zip(lows.tolist(), highs.tolist()))]
         heapq.heapify(heap)
         while heap:
             high, at, number, low = heapq.heappop(heap)
             if not any(window.floor() <= -high and low <= window.high for window in windows):
                 continue
-            start, tree = self.trees[at]
-            if (at, number) not in self.below:
+            inner = self.below.get((at, number))
+            if inner is None:
+                start, tree = self.trees[at]
                 rows = slice(start + tree.first[number], start + tree.last[number])
-                verify(rows, self.products(rows, query))
+                verify(self.products(self.vectors[rows], query), self.labels[rows], self.uids[rows], self.ids[rows])
                 continue
-            children, alone, rows, radii = self.below[at, number]
-            products = self.products(rows, query)
-            if alone.any():
-                verify(rows[alone], products[alone])
-            lows, highs = self.bounds(products.astype(float), radii, norm)
-            for k in np.flatnonzero(~alone & (highs >= least())).tolist():
-                heapq.heappush(heap, (-float(highs[k]), at, int(children[k]), float(lows[k])))
+            vectors, few, wide, radii = inner
+            products = self.products(vectors, query)
+            count = len(few[0])
+            if count:
+                verify(products[:count], *few)
+            if wide:
+                lows, highs = self.bounds(products[count:].astype(float), radii, norm)
+                for k in np.flatnonzero(highs >= least()).tolist():
+                    heapq.heappush(heap, (-float(highs[k]), at, wide[k], float(lows[k])))
         return met
