@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +43,46 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Folders of tables that belong to the open scratch blocks, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def materialise(df: DataFrame, *, stays: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the later steps only, and work that several
-    branches use is done once.
+    branches use is done once. Inside a `scratch` block the table goes when the block ends; one
+    that `stays` goes with the next outer block, if there is one.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     df.write.parquet(folder)
+    blocks = _SCRATCH[:-1] if stays else _SCRATCH
+    if blocks:
+        blocks[-1].append(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised in the block are deleted at its end.
+
+    What is to be read later must be materialised with `stays`.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCRATCH.pop():
+            drop_folder(spark, folder)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
