@@ -4,16 +4,16 @@ import corpus_pipeline
 import public_tokenizers
 from cases import documents
 from test_byte_pairs import library
+from test_near_copies import kept_ids
 
-from tidemark.llm import contamination, pseudonyms, quality_rules, simhash
+from tidemark.llm import contamination, pseudonyms, quality_rules
 
 
 def test_stages_against_their_operators(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r.doc_id for r in quality_rules.result(docs).collect() if r.kept}
-    left = docs.where(docs.doc_id.isin(sorted(kept)))
-    groups = {r.doc_id: r.component_id for r in simhash.result(left).collect()}
-    first = {i for i, group in groups.items() if i == group}
+    # All pairs of what the first stage keeps are compared.
+    first = set(kept_ids([(r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept]))
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     dirty = {r.doc_id for r in contamination.result(docs, bench).collect() if r.contaminated}
     final = first - dirty
