@@ -24,21 +24,25 @@ def test_round_trip_of_blocks():
 def test_parts_encode_as_whole_texts():
     coder = planes.Encoder(PATH)
     texts = [text or "" for _, text in TEXTS] + ["  two  blanks ", "tab\t x", "nl \n x", "<|endoftext|> y", " x", "a \x85 b"]
-    assert coder.encode(texts) == coder.whole(texts)
+    texts += ["a <|endoftext|> b", "z<|endoftext|>.", "end. End, (x). 3.5! --. 's. x.'s don't. é. ½. 中., w.\nNext, y", "so?!. it's, a.b."]
+    library = Tokenizer.from_file(PATH)
+    want = [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert coder.encode(texts) == want
+    assert coder.encode(texts) == want  # now from what it remembers
 
 
 @pytest.mark.parametrize("chunk", [planes.CHUNK_IDS, 4])
 def test_files_hold_all_documents_in_order(spark, chunk, monkeypatch):
     monkeypatch.setattr(planes, "CHUNK_IDS", chunk)
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
-    rows = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    texts = [*TEXTS, (500, "a <|endoftext|> b")]
+    rows = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     start, want = 0, []
     for doc_id, text in rows:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         want.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
-    got = sorted((tuple(row) for row in planes.result(documents(spark), PATH).collect()), key=lambda x: x[1])
+    got = sorted((tuple(row) for row in planes.result(documents(spark, texts), PATH).collect()), key=lambda x: x[1])
     assert got == want
 
 

@@ -20,6 +20,8 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ MAGIC = b"IDP1"
 BLOCK_IDS = 8_192
 CHUNK_IDS = 262_144
 END_ID = (0).to_bytes(4, "little")
+#: Marks that are a piece of their own, or part of one, after a letter or a digit.
+CLOSING = ".,;:!?%#*&$"
 #: Distinct parts of texts whose ids a worker remembers.
 KEPT_PARTS = 1_200_000
 #: Parts that are encoded as one line.
@@ -90,7 +94,11 @@ class Encoder:
 
     The vocabulary's pattern always ends a piece before a single space between two characters
     that are not white space. So a text is cut there and the library encodes each distinct part
-    ` word` once; texts with other runs of white space around a cut are encoded in one go.
+    ` word` once; texts with other runs of white space around a cut are encoded in one go. A part
+    that ends in punctuation after a letter or a digit is put together from the two.
+
+    Added tokens keep the library's default: their strings in a text are the token. None of them
+    holds a space.
     """
 
     def __init__(self, path: str):
@@ -98,8 +106,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
+        self.special = [each.content for each in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.closings: dict[str, bytes] = {}
         # A token of this vocabulary has one character per byte it stands for.
         vocab = self.library.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -127,25 +136,51 @@ class Encoder:
                 yield data[at:cut]
                 at = cut
 
+    def learn(self, parts: set[str]) -> None:
+        """Puts the ids of every ` part` that can stand alone into `known`."""
+        split = {}
+        for part in parts:
+            if not part or part != part.strip():
+                continue
+            stem = part.rstrip(CLOSING)
+            if stem and stem[-1].isalnum():
+                split[part] = stem, part[len(stem) :]
+                # `end.` and `Next` of "end.\nNext" are found more often than the whole.
+                first, feed, last = stem.partition("\n")
+                before = first.rstrip(CLOSING)
+                if feed and before and before[-1].isalnum() and last.isalnum():
+                    split[part] = before, first[len(before) :] + feed, last, part[len(stem) :]
+            else:
+                split[part] = part, ""
+        new = list({each[0] for each in split.values()}.difference(self.known))
+        rest = list({piece for each in split.values() for piece in each[1:]}.difference(self.closings))
+        self.known.update(zip(new, self.together(new), strict=True))
+        self.closings.update(zip(rest, self.whole(rest), strict=True))
+        closings = self.closings
+        for part, (stem, *pieces) in split.items():
+            if pieces != [""]:
+                self.known[part] = self.known[stem] + b"".join([closings[piece] for piece in pieces])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
+        if len(self.known) + len(self.closings) > KEPT_PARTS:
+            self.known.clear()
+            self.closings.clear()
+        get = self.known.get
         parts = [text.split(" ") for text in texts]
-        known = self.known
-        new = list(set().union(*parts).difference(known))
-        sound = [part for part in new if part and part == part.strip()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(sound, self.together(sound), strict=True))
         openings = self.whole([part[0] for part in parts])
+        found = [list(map(get, part[1:])) for part in parts]
+        holes = [list(compress(range(len(each)), map(not_, each))) for each in found]
+        self.learn({part[i + 1] for part, places in zip(parts, holes) for i in places})
         out = []
-        for text, opening, part in zip(texts, openings, parts, strict=True):
-            try:
-                if part[0] != part[0].strip():
-                    raise TypeError
-                out.append(opening + b"".join(map(known.__getitem__, part[1:])))
-            except TypeError:  # a part that cannot stand alone
+        for text, opening, part, ids, places in zip(texts, openings, parts, found, holes, strict=True):
+            for i in places:
+                ids[i] = get(part[i + 1])
+            sound = part[0] == part[0].strip() and not any(word in text for word in self.special)
+            if sound and not (places and None in ids):
+                out.append(opening + b"".join(ids))
+            else:  # a part that cannot stand alone, or an added token
                 out.append(self.whole([text])[0])
-        if len(known) > KEPT_PARTS:
-            known.clear()
         return out
 
 

@@ -18,7 +18,7 @@ from operator import not_
 import numpy as np
 
 #: Closing marks that are a piece of their own after a letter or a digit.
-CLOSING = ".,;:!?"
+CLOSING = ".,;:!?%#*&$"
 #: Words whose ids a worker remembers.
 KEPT_WORDS = 1_000_000
 #: Words that are encoded as one line.
