@@ -74,12 +74,33 @@ def available_cash(
     return outcomes.groupBy(*by).agg(cash.alias("cash"), (cash > 0).alias("usable"))
 
 
-def planned_vs_actual(plans: DataFrame, trades: DataFrame) -> DataFrame:
-    """Primary plan next to the manual trade of the same snapshot."""
+def one_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key by `order`, ties by all other columns (nulls first).
+
+    One map-side combined aggregation, so a key that many rows repeat is no hot group.
+    """
+    first = [*order, *[name for name in df.columns if name not in (*key, *order)]]
+    return df.groupBy(*key).agg(F.min(F.struct(*first)).alias("__r")).select(
+        *key, *[F.col("__r").getField(name).alias(name) for name in df.columns if name not in key]
+    )
+
+
+def planned_vs_actual(
+    plans: DataFrame, trades: DataFrame, *, order: Sequence[str] = (), extra: Sequence[str] = ()
+) -> DataFrame:
+    """Primary plan next to the manual trade of the same snapshot.
+
+    A snapshot and symbol have one plan and one trade. Where a side repeats them, its first row
+    by `order` counts, ties by its other columns. `extra` columns of the trade are passed on.
+    """
+    key = ["snapshot_id", "symbol"]
     entry, leave, quantity = F.col("entry_price"), F.col("exit_price"), F.col("quantity")
-    return plans.join(trades, ["snapshot_id", "symbol"]).select(
-        "snapshot_id",
-        "symbol",
+    kept = [name for name in ("entry_price", "exit_price", "quantity", "exit_reason", *extra, *order) if name in trades.columns]
+    plan = one_per_key(plans, key, [name for name in order if name in plans.columns])
+    made = one_per_key(trades.select(*key, *dict.fromkeys(kept)), key, [name for name in order if name in trades.columns])
+    planned = [name for name in plan.columns if name.startswith("planned_")]
+    return plan.select(*key, *planned).join(made, key).select(
+        *key,
         "planned_entry",
         "planned_stop",
         "planned_target",
@@ -89,6 +110,7 @@ def planned_vs_actual(plans: DataFrame, trades: DataFrame) -> DataFrame:
         quantity.alias("actual_quantity"),
         ((leave - entry) * quantity).alias("realized_pnl"),
         "exit_reason",
+        *extra,
     )
 
 

@@ -123,23 +123,20 @@ def trades_journal(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "planned_vs_actual",
-    """SELECT account, CAST(count(*) AS BIGINT) AS trades, CAST(count(exit_price) AS BIGINT) AS closed,
+    """WITH once AS (SELECT * FROM trades_journal QUALIFY row_number() OVER (PARTITION BY snapshot_id, symbol
+                     ORDER BY event_order, entry_price, exit_price NULLS FIRST, quantity, exit_reason NULLS FIRST, account) = 1)
+       SELECT account, CAST(count(*) AS BIGINT) AS trades, CAST(count(exit_price) AS BIGINT) AS closed,
               round(sum((exit_price - entry_price) * quantity), 2) AS realized_pnl, round(min(entry_price - planned_entry), 6) AS least_slip
-       FROM trades_journal GROUP BY account""",
+       FROM once GROUP BY account""",
     "trades_journal",
 )
 def planned_vs_actual(spark: SparkSession, folder: str) -> DataFrame:
     rows = trades_journal(spark, folder)
     plan = rows.select(
-        "snapshot_id", "symbol", "planned_entry", "planned_stop", "planned_target",
+        "snapshot_id", "symbol", "event_order", "planned_entry", "planned_stop", "planned_target",
         "planned_quantity",
     )
-    made = rows.select(
-        "snapshot_id", "symbol", "account", "entry_price", "exit_price", "quantity", "exit_reason"
-    )
-    joined = journal.planned_vs_actual(plan, made).join(
-        made.select("snapshot_id", "account"), "snapshot_id"
-    )
+    joined = journal.planned_vs_actual(plan, rows, order=["event_order"], extra=["account"])
     return joined.groupBy("account").agg(
         F.count("*").alias("trades"),
         F.count("actual_exit").alias("closed"),
@@ -356,12 +353,11 @@ def monitor_5min(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "monitor_5min_stream",
-    MONITOR_SQL
-    + " WHERE bucket_us + 300000000 <= (SELECT max(received_us) // 1000 * 1000 - 600000000 FROM quotes_dense)",
+    MONITOR_SQL,
     "monitored",
 )
 def monitor_5min_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same monitor as a stream over the landed events, up to its watermark."""
+    """The same monitor as a stream over the landed events, newest buckets included."""
     from tidemark.registry.views import dense_from_events
     from tidemark.streaming import quotes as stream
 
@@ -375,8 +371,7 @@ def monitor_5min_stream(spark: SparkSession, folder: str) -> DataFrame:
         events.schema,
         pattern="events.parquet" if single else "*.parquet",
     )
-    live = dense_from_events(landed).withWatermark("received_at", stream.WATERMARK)
-    buckets = stream.monitor_buckets(live, selections(spark, folder))
+    versions = stream.monitor_updates(dense_from_events(landed), selections(spark, folder))
     target = shared_folder(spark)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
@@ -385,15 +380,13 @@ def monitor_5min_stream(spark: SparkSession, folder: str) -> DataFrame:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     try:
-        stream.run_available(
-            stream.running_extremes(buckets), f"{target}/table", f"{target}/checkpoint"
-        )
+        stream.run_updates(versions, f"{target}/table", f"{target}/checkpoint")
     finally:
         if before is None:
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
-    return _monitor_columns(spark.read.parquet(f"{target}/table"))
+    return _monitor_columns(stream.newest_versions(spark, f"{target}/table", stream.MONITOR_KEY, stream.MONITOR_SCHEMA))
 
 
 # ---- decision -----------------------------------------------------------------------

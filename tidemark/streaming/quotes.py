@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.monitoring import (
     best_selection,
-    first_in_bucket,
     selected_quotes,
     with_return,
 )
@@ -38,68 +37,154 @@ def without_duplicates(quotes: DataFrame, keys: list[str], delay: str = WATERMAR
     return quotes.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def monitor_buckets(quotes: DataFrame, selections: DataFrame, tie_break: str = "event_id") -> DataFrame:
-    """First observation per five-minute bucket of selected symbols (append mode).
+BUCKET_US = 300_000_000
+_VALUE = (
+    "received_us long, tie long, role string, last_trade_price double, bid_price double, "
+    "ask_price double, volume double, return_pct double, target_hit boolean, stop_hit boolean"
+)
+_VALUES = [each.split()[0] for each in _VALUE.split(", ")]
+_ARRIVING = f"snapshot_id string, symbol string, received_at timestamp, bucket_us long, {_VALUE}"
+MONITOR_KEY = ["snapshot_id", "symbol", "bucket_at"]
+MONITOR_SCHEMA = (
+    "snapshot_id string, symbol string, bucket_at timestamp, received_at timestamp, role string, "
+    "last_trade_price double, bid_price double, ask_price double, volume double, "
+    "return_pct double, mfe_pct double, mae_pct double, target_hit boolean, stop_hit boolean"
+)
 
-    `quotes` is a stream with a watermark; `selections` is static and reduced to its best
-    row per session and symbol before the join.
-    """
-    joined = selected_quotes(quotes, best_selection(selections))
-    return with_return(first_in_bucket(joined, tie_break))
+
+def _first_per_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ordered = batch.sort_values(["received_us", "tie"], kind="stable")
+        yield ordered.drop_duplicates(["snapshot_id", "symbol", "bucket_us"])
 
 
-class RunningExtremes(StatefulProcessor):
-    """Best and worst return seen so far per (snapshot, symbol); state is two numbers."""
+class BucketMonitor(StatefulProcessor):
+    """First observation of each five-minute bucket with the extremes up to it, emitted at once.
+
+    State per (snapshot, symbol): a map of the buckets that may still change, and two numbers for
+    those that may not. An observation that arrives later but was received earlier replaces its
+    bucket's; the bucket and all later open ones are emitted again. A timer at the end of each
+    bucket fires once the watermark has passed it; the bucket then leaves the map. State in event
+    time has no time to live of its own, the timers bound it.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("extremes", "mfe double, mae double")
+        self.handle = handle
+        self.open = handle.getMapState("open", "bucket_us long", _VALUE)
+        self.closed = handle.getValueState("closed", "mfe double, mae double")
+
+    def _extremes(self) -> tuple[float, float]:
+        return tuple(self.closed.get()) if self.closed.exists() else (0.0, 0.0)
+
+    def _buckets(self) -> list[tuple[int, tuple]]:
+        return sorted((int(key[0]), tuple(value)) for key, value in self.open.iterator())
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any
     ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("bucket_at", kind="stable")
-        mfe, mae = self.state.get() if self.state.exists() else (0.0, 0.0)
-        returns = batch["return_pct"].astype(float)
-        best = returns.cummax().ffill().fillna(0.0).clip(lower=mfe)
-        worst = returns.cummin().ffill().fillna(0.0).clip(upper=mae)
-        self.state.update((float(best.iloc[-1]), float(worst.iloc[-1])))
-        yield pd.DataFrame(
-            {
-                "snapshot_id": key[0],
-                "symbol": key[1],
-                "bucket_at": batch["bucket_at"],
-                "received_at": batch["received_at"],
-                "last_trade_price": batch["last_trade_price"],
-                "return_pct": returns,
-                "mfe_pct": best,
-                "mae_pct": worst,
-                "target_hit": batch["target_hit"],
-                "stop_hit": batch["stop_hit"],
-            }
-        )
+        changed = None
+        for batch in _first_per_bucket(rows):
+            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
+                bucket = (int(row.bucket_us),)
+                value = tuple(getattr(row, name) for name in _VALUES)
+                if self.open.containsKey(bucket):
+                    if tuple(self.open.getValue(bucket))[:2] <= value[:2]:
+                        continue
+                else:
+                    self.handle.registerTimer((bucket[0] + BUCKET_US) // 1000)
+                self.open.updateValue(bucket, value)
+                changed = bucket[0] if changed is None else min(changed, bucket[0])
+        if changed is not None:
+            yield self._versions(key, changed)
+
+    def _versions(self, key: Any, since: int) -> pd.DataFrame:
+        """The open buckets from `since` on, with running extremes."""
+        mfe, mae = self._extremes()
+        out = []
+        for bucket, value in self._buckets():
+            row = dict(zip(_VALUES, value))
+            if row["return_pct"] is not None:
+                mfe, mae = max(mfe, row["return_pct"]), min(mae, row["return_pct"])
+            if bucket >= since:
+                row |= {"snapshot_id": key[0], "symbol": key[1], "mfe_pct": mfe, "mae_pct": mae}
+                row |= {"bucket_at": bucket, "received_at": row["received_us"]}
+                out.append(row)
+        frame = pd.DataFrame(out, columns=[each.split()[0] for each in MONITOR_SCHEMA.split(", ")])
+        for name in ("bucket_at", "received_at"):
+            frame[name] = pd.to_datetime(frame[name].astype("int64"), unit="us")
+        return frame
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        ended = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        mfe, mae = self._extremes()
+        for bucket, value in self._buckets():
+            if bucket + BUCKET_US > ended:
+                break
+            gain = value[_VALUES.index("return_pct")]
+            if gain is not None:
+                mfe, mae = max(mfe, gain), min(mae, gain)
+            self.open.removeKey((bucket,))
+        self.closed.update((mfe, mae))
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-EXTREMES_SCHEMA = (
-    "snapshot_id string, symbol string, bucket_at timestamp, received_at timestamp, "
-    "last_trade_price double, return_pct double, mfe_pct double, mae_pct double, "
-    "target_hit boolean, stop_hit boolean"
-)
+def monitor_updates(
+    quotes: DataFrame, selections: DataFrame, tie_break: str = "event_id", delay: str = WATERMARK
+) -> DataFrame:
+    """Versions of monitored buckets (MONITOR_SCHEMA), the newest of each key counts.
 
+    `quotes` is a stream; `selections` is static and reduced to its best row per session and
+    symbol before the join. Every task reduces its rows to one per bucket before they are
+    shuffled, so a symbol with most of the quotes is no hot group. Quotes that come more than
+    `delay` behind the newest one are dropped.
+    """
+    ship_package(quotes.sparkSession)
+    at = F.unix_micros("received_at")
+    priced = with_return(selected_quotes(quotes, best_selection(selections)))
+    arriving = priced.select(
+        "snapshot_id", "symbol", "received_at", (F.floor(at / BUCKET_US) * BUCKET_US).cast("long").alias("bucket_us"),
+        at.alias("received_us"), F.col(tie_break).cast("long").alias("tie"), "role",
+        *[F.col(name).cast("double").alias(name) for name in ("last_trade_price", "bid_price", "ask_price", "volume", "return_pct")],
+        "target_hit", "stop_hit",
+    )
+    first = arriving.mapInPandas(_first_per_bucket, _ARRIVING).withWatermark("received_at", delay)
+    return first.groupBy("snapshot_id", "symbol").transformWithStateInPandas(
+        statefulProcessor=BucketMonitor(),
+        outputStructType=MONITOR_SCHEMA,
+        outputMode="Update",
+        timeMode="EventTime",
+    )
 
-def running_extremes(buckets: DataFrame) -> DataFrame:
-    """Attach running extremes to streamed buckets with keyed state."""
-    ship_package(buckets.sparkSession)
-    return buckets.groupBy("snapshot_id", "symbol").transformWithStateInPandas(
-        statefulProcessor=RunningExtremes(),
-        outputStructType=EXTREMES_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
+
+def run_updates(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Process everything landed so far; each batch's versions are a folder of their own.
+
+    A batch that runs again writes the same folder, so nothing is doubled.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    (
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
     )
 
 
+def newest_versions(spark: SparkSession, target: str, key: list[str], schema: str) -> DataFrame:
+    """The newest version of each key that `run_updates` has written."""
+    read = spark.read.schema(f"{schema}, batch long").parquet(target)
+    rest = [name for name in read.columns if name not in (*key, "batch")]
+    return read.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*key, "__r.*")
+
+
 def latest_state(quotes: DataFrame, tie_break: str = "event_id") -> DataFrame:
     """Newest quote per symbol for update or complete mode."""
     newest = F.max_by(
