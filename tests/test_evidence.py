@@ -173,8 +173,8 @@ def test_drawdown_and_ledger_over_segments(spark, minutes):
 
 def test_folds_and_logistic_fit(spark):
     rows = spark.createDataFrame([(f"2026-{i:03d}", "s", "A", i) for i in range(12)], "session string, snapshot_id string, symbol string, k int")
-    for bounded in (True, False):
-        folds = model.walk_forward(rows, ModelWindows(6, 2, 2), bounded=bounded).collect()
+    for cut in (1_000_000, 3):
+        folds = model.walk_forward(rows, ModelWindows(6, 2, 2), cut=cut).collect()
         parts = {}
         for r in folds:
             parts.setdefault((r.fold, r.part), []).append(r.row)

@@ -1,4 +1,9 @@
-"""As-of joins as one shuffle: union both sides and carry the latest value forward."""
+"""As-of joins as one shuffle: union both sides and carry the latest value forward.
+
+Keys with very many rows are cut into segments (`segments`); the value that is open at the start of
+a segment is carried into it, one row each. Both sides are read once for the join and, unless the
+caller gives the cuts, once for counting.
+"""
 
 from __future__ import annotations
 
@@ -36,23 +41,17 @@ def asof_join(
         return (F.unix_micros(F.col(time).cast("timestamp")) * sign).cast("long")
 
     needles = left.withColumn("__o", ordered(left, left_time))
-    # Right rows of other keys, or beyond a key's last left row, can match nothing.
-    reach = needles.groupBy(*[F.col(name).alias(f"__k{i}") for i, name in enumerate(by)]).agg(
-        F.max("__o").alias("__reach")
-    )
+    # Rows of one time are ordered by their values, so the greatest of them is the last one.
     lookup = right.filter(F.col(right_time).isNotNull()).select(
         *by, ordered(right, right_time).alias("__o"), payload.alias("__match")
     )
-    same = F.col("__o") <= F.col("__reach")
-    for i, name in enumerate(by):
-        same = same & F.col(name).eqNullSafe(F.col(f"__k{i}"))
-    # One row per (by, time) on the right keeps the order total.
-    lookup = lookup.join(reach, same, "left_semi").groupBy(*by, "__o").agg(F.max("__match").alias("__match"))
     both = lookup.withColumn("__side", F.lit(0)).unionByName(
         needles.withColumn("__side", F.lit(1)), allowMissingColumns=True
     )
-    segmentation = segmentation or Segmentation.for_input(both, by, F.col("__o"))
-    series = KeyedSeries(both, by, ["__o", "__side"], segmentation)
+    if segmentation is None:
+        times = lookup.select(*by, "__o").unionByName(needles.select(*by, "__o"))
+        segmentation = Segmentation.for_input(times, by, F.col("__o"))
+    series = KeyedSeries(both, by, ["__o", "__side", "__match"], segmentation)
     series.accumulate(lasts={"__found": F.when(F.col("__side") == 0, F.col("__match"))})
     matched = series.finish().filter(F.col("__side") == 1)
     return matched.select(

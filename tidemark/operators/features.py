@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,8 +157,11 @@ def market_features(
     sees the opening range up to itself (point-in-time replay of every prefix).
     """
     windows = windows or FeatureWindows()
-    # The as-of joins have other keys; unless a fixed cut is given, each finds its own width.
+    # The as-of joins have the session as key. Raw rows are counted for them, not derived ones.
     asof_cut = segmentation if segmentation and segmentation.minutes else None
+    if asof_cut is None and (market is not None or sector is not None):
+        sides = [side.select("session_date", "received_at") for side in (samples, market, sector) if side is not None]
+        asof_cut = Segmentation.for_input(reduce(DataFrame.unionByName, sides), ["session_date"], F.unix_micros("received_at"))
     segmentation = segmentation or Segmentation.for_input(
         samples, KEYS, F.unix_micros("received_at")
     )

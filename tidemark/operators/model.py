@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import is_finite, sigmoid
-from tidemark.operators.ordering import position
+from tidemark.operators.ordering import position, rising_text
+from tidemark.operators.segments import SEGMENT_ROWS
 from tidemark.policies import ModelWindows
 from tidemark.shared import ship_package
 
@@ -61,7 +62,7 @@ def model_rows(
     )
 
 
-def walk_forward(rows: DataFrame, windows: ModelWindows, *, bounded: bool | None = None) -> DataFrame:
+def walk_forward(rows: DataFrame, windows: ModelWindows, *, cut: int = SEGMENT_ROWS) -> DataFrame:
     """Assign chronologically ordered rows to every fold they belong to.
 
     Fold k starts at k * validation rows, so neighbouring folds overlap. A row joins at
@@ -71,8 +72,9 @@ def walk_forward(rows: DataFrame, windows: ModelWindows, *, bounded: bool | None
         rows.withColumn("__all", F.lit(1)),
         ["__all"],
         [F.col("session").asc(), F.col("snapshot_id").asc(), F.col("symbol").asc()],
+        along=rising_text(F.col("session").cast("string")),
         name="row",
-        bounded=bounded,
+        rows=cut,
     )
     total, step = windows.minimum_rows, windows.validation
     counted = ordered.withColumns(

@@ -1,30 +1,72 @@
 """Exact ranks and medians over groups of any size.
 
-`ordered_runs` range-partitions rows by (group, order): Spark samples the data and cuts it
-into even ranges, so a group holding a third of all rows is spread over a third of the
-tasks. Each range is a *run*; ranks are the position inside the run plus the row count of
-earlier runs, a table with at most one row per (group, partition).
+A group is a series in the order of its values (`segments`): groups with few rows are ranked whole,
+those with very many are cut where counts of their values say, ranked piece by piece, and a carry of
+one small row per piece makes the ranks exact. Nothing is sampled, nothing is written on the way and
+no size decides how it is done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scaling import MIB, estimated_bytes, reliable_checkpoint
+from tidemark.operators.segments import SEGMENT_ROWS, KeyedSeries, Segmentation
 
-RUN = "__run"
-# Below this estimated size the whole input fits one task, so a plain window is exact and cheap.
-WINDOW_BYTES = 64 * MIB
+#: Bits of a value that take part in cutting groups, and how many values of it make a counted cell.
+MANTISSA_BITS = 20
+CELL = 1 << 8
+_ALONG = "__along"
 
 
-def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Add the run number; runs are contiguous in (group, order) and of bounded size."""
-    ranged = df.repartitionByRange(*[F.col(name) for name in group], *order)
-    # The run boundaries are sampled, so the cut is materialised before it is read twice.
-    return reliable_checkpoint(ranged.withColumn(RUN, F.spark_partition_id()))
+def rising(value: Column) -> Column:
+    """A long that never falls as a double rises: its exponent and the first bits of its mantissa.
+
+    Where log2 rounds to a neighbouring exponent the mantissa leaves its range by as much, so the
+    sum is the same. Null counts below all values, NaN above them.
+    """
+    size = F.abs(value.cast("double"))
+    exponent = F.floor(F.log2(size))
+    bits = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << MANTISSA_BITS))
+    key = (exponent + 1_100) * (1 << MANTISSA_BITS) + bits
+    top = 1 << 40
+    return (
+        F.when(value.isNull(), F.lit(-top - 1))
+        .when(F.isnan(value.cast("double")), F.lit(top + 1))
+        .when(size == 0, F.lit(0))
+        .when(size == float("inf"), F.signum(value.cast("double")) * top)
+        .otherwise(F.signum(value.cast("double")) * key)
+        .cast("long")
+    )
+
+
+def rising_text(value: Column, characters: int = 10) -> Column:
+    """A long that never falls as a text rises; it tells dates in ISO form apart.
+
+    Digits and the signs `-./` are told apart in the first characters; what follows any other
+    character does not count. Null counts below all texts.
+    """
+    code = lambda i: F.ascii(F.substring(value, i, 1))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(True).alias("on"))
+
+    def step(so_far: Column, i: Column) -> Column:
+        known = so_far["on"] & code(i).between(45, 57)
+        place = F.when(known, code(i) - 44).when(so_far["on"] & (code(i) > 57), 15).otherwise(0)
+        return F.struct((so_far["sum"] * 16 + place).alias("sum"), known.alias("on"))
+
+    places = F.sequence(F.lit(1), F.lit(characters))
+    return F.when(value.isNull(), F.lit(-1).cast("long")).otherwise(F.aggregate(places, start, step)["sum"])
+
+
+def _series(
+    df: DataFrame, group: Sequence[str], along: Column, order: Sequence[Column], rows: int
+) -> KeyedSeries:
+    """`df` as series of `group`, cut along the long `along`, in the order of all columns given."""
+    frame = df.withColumn(_ALONG, along)
+    cuts = Segmentation.for_input(frame, group, F.col(_ALONG), cell=CELL, rows=rows)
+    return KeyedSeries(frame, group, [_ALONG, *order], cuts)
 
 
 def position(
@@ -32,29 +74,18 @@ def position(
     group: Sequence[str],
     order: Sequence[Column],
     *,
+    along: Column,
     name: str = "position",
-    bounded: bool | None = None,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """1-based position of every row in its group under a total order."""
-    if bounded is None:
-        bounded = estimated_bytes(df) <= WINDOW_BYTES
-    if bounded:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window))
-    runs = ordered_runs(df, group, order)
-    inside = Window.partitionBy(*group, RUN).orderBy(*order)
-    before = Window.partitionBy(*group).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        runs.groupBy(*group, RUN)
-        .agg(F.count("*").alias("__rows"))
-        .select(*group, RUN, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
-    )
-    return (
-        runs.withColumn("__local", F.row_number().over(inside))
-        .join(offsets, [*group, RUN])
-        .withColumn(name, (F.col("__local") + F.col("__offset")).cast("int"))
-        .drop("__local", "__offset", RUN)
-    )
+    """1-based position of every row in its group under a total order.
+
+    `along` is a long that never falls in this order, such as `rising` of the first column, or its
+    negative where that descends. Rows that are equal in it stay together.
+    """
+    series = _series(df, group, along, order, rows)
+    series.accumulate(sums={name: F.lit(1).cast("long")})
+    return series.finish().withColumn(name, F.col(name).cast("int")).drop(_ALONG)
 
 
 def weighted_prefix(
@@ -63,43 +94,18 @@ def weighted_prefix(
     order: Sequence[Column],
     weight: Column,
     *,
+    along: Column,
     name: str,
-    bounded: bool | None = None,
+    rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Running sum of `weight` up to and including each row of its group."""
-    frame = df.withColumn("__w", weight)
-    if bounded is None:
-        bounded = estimated_bytes(df) <= WINDOW_BYTES
-    if bounded:
-        window = (
-            Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        )
-        return frame.withColumn(name, F.sum("__w").over(window)).drop("__w")
-    runs = ordered_runs(frame, group, order)
-    inside = (
-        Window.partitionBy(*group, RUN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    before = Window.partitionBy(*group).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        runs.groupBy(*group, RUN)
-        .agg(F.sum("__w").alias("__t"))
-        .select(*group, RUN, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__offset"))
-    )
-    return (
-        runs.withColumn("__local", F.sum("__w").over(inside))
-        .join(offsets, [*group, RUN])
-        .withColumn(name, F.col("__local") + F.col("__offset"))
-        .drop("__local", "__offset", "__w", RUN)
-    )
+    series = _series(df, group, along, order, rows)
+    series.accumulate(sums={name: weight})
+    return series.finish().drop(_ALONG)
 
 
 def group_median(
-    df: DataFrame,
-    group: Sequence[str],
-    value: Column,
-    *,
-    name: str = "median",
-    bounded: bool | None = None,
+    df: DataFrame, group: Sequence[str], value: Column, *, name: str = "median", rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Exact median per group: count equal values first, then find the middle ones.
 
@@ -111,45 +117,28 @@ def group_median(
         .groupBy(*group, "__v")
         .agg(F.count("*").alias("__n"))
     )
-    ranked = weighted_prefix(
-        counts, group, [F.col("__v").asc()], F.col("__n"), name="__upto", bounded=bounded
-    )
-    totals = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
-    keyed = ranked.join(totals, list(group))
+    series = _series(counts, group, rising(F.col("__v")), [F.col("__v").asc()], rows)
+    series.accumulate(sums={"__upto": F.col("__n")}, key_sums={"__total": F.col("__n")})
     low = F.floor((F.col("__total") + 1) / 2)
     high = F.floor((F.col("__total") + 2) / 2)
     after = F.col("__upto")
     before = F.col("__upto") - F.col("__n")
+    middle = (before < low) & (low <= after), (before < high) & (high <= after)
     return (
-        keyed.withColumns(
-            {
-                "__low": F.when((before < low) & (low <= after), F.col("__v")),
-                "__high": F.when((before < high) & (high <= after), F.col("__v")),
-            }
-        )
-        .filter(F.col("__low").isNotNull() | F.col("__high").isNotNull())
+        series.finish()
+        .filter(middle[0] | middle[1])
         .groupBy(*group)
-        .agg(((F.max("__low") + F.max("__high")) / 2).alias(name))
+        .agg(((F.max(F.when(middle[0], F.col("__v"))) + F.max(F.when(middle[1], F.col("__v")))) / 2).alias(name))
     )
 
 
 def dense_position(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    *,
-    bounded: bool | None = None,
+    df: DataFrame, group: Sequence[str], value: str, *, rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Distinct values per group with their 0-based rank and the number of distinct values."""
     distinct = df.select(*group, value).filter(F.col(value).isNotNull()).distinct()
-    if bounded is None:
-        bounded = estimated_bytes(df) <= WINDOW_BYTES
-    ranked = position(distinct, group, [F.col(value).asc()], name="__r", bounded=bounded)
-    if bounded:
-        sized = ranked.withColumn(
-            "distinct_values", F.count("*").over(Window.partitionBy(*group))
-        )
-    else:
-        sizes = ranked.groupBy(*group).agg(F.max("__r").cast("long").alias("distinct_values"))
-        sized = ranked.join(sizes, list(group))
-    return sized.select(*group, value, (F.col("__r") - 1).alias("dense_rank"), "distinct_values")
+    series = _series(distinct, group, rising(F.col(value)), [F.col(value).asc()], rows)
+    one = F.lit(1).cast("long")
+    series.accumulate(sums={"__r": one}, key_sums={"distinct_values": one})
+    rank = (F.col("__r") - 1).cast("int").alias("dense_rank")
+    return series.finish().select(*group, value, rank, "distinct_values")

@@ -1,16 +1,17 @@
 """Ordered computations over keyed series whose keys may be arbitrarily large.
 
 A window over `(symbol, session)` puts a whole key into one task, and one hot key may hold a
-third of a very large table. A `Segmentation` therefore cuts every key along its order column
-into segments of about equal, bounded numbers of rows, and `KeyedSeries` makes ordered results
-exact across the cuts:
+third of a very large table. A `Segmentation` therefore cuts each key that has too many rows,
+and only those, along its order column, where its own counts say: a burst of one key leaves all
+other keys whole. `KeyedSeries` makes ordered results exact across the cuts:
 
 * trailing frames (`lag`, the previous n rows) see a *halo*: copies of the last n rows before
   the segment, flagged and dropped at the end;
 * running results add a *carry*: one small row per segment with the totals of all earlier
   segments, joined back on `(keys, segment)`, never on the hot key alone.
 
-There is one path for inputs of every size; where few rows exist, a key is one segment.
+Both are made from the rows of cut keys alone. There is one plan for inputs of every size; where
+no key is cut, adaptive execution finds the table of cuts empty and drops these branches.
 """
 
 from __future__ import annotations
@@ -23,18 +24,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "__segment"
+#: Whether a row's key is cut.
+CUT = "__cut"
 GHOST = "__ghost"
 MICROS_PER_MINUTE = 60_000_000
-#: Rows that a segment should hold at most.
+#: Rows that a segment should hold; a key with no more is not cut.
 SEGMENT_ROWS = 1_000_000
+#: Steps of the search in a key's bounds: fewer than 2^30 of them.
+_STEPS = 29
 
 
 @dataclass(frozen=True)
 class Segmentation:
-    """Where keys are cut: by a fixed number of minutes, or by a width found from counts."""
+    """Where keys are cut: by a fixed number of minutes, at counted bounds, or nowhere."""
 
     minutes: int | None = None
-    width: Column | None = None
+    keys: tuple[str, ...] = ()
+    bounds: DataFrame | None = None
 
     @classmethod
     def for_input(
@@ -46,40 +52,74 @@ class Segmentation:
         cell: int = MICROS_PER_MINUTE,
         rows: int = SEGMENT_ROWS,
     ) -> Segmentation:
-        """Width from the rows really present, as a scalar subquery over counts.
+        """Bounds from the rows really present, for each key with more than `rows` of them.
 
         Rows are counted per key and cell of the order column (a minute of microseconds unless
-        said otherwise). The fullest cell sets the width: as many cells as fit `rows`, or a
-        part of a cell where one alone holds more.
+        said otherwise), on the map side first. A bound stands where a key's running count passes
+        a multiple of `rows`; a cell that alone holds more is cut evenly. Give the input before it
+        is joined to anything, since it is read once more for this.
+
+        The table of bounds has at most two bounds for every `rows` rows of the input, which is the
+        proof that it may be sent to all tasks.
         """
-        counts = df.groupBy(*keys, F.floor(order / F.lit(cell)).alias("__cell")).agg(
-            F.count("*").alias("__n")
+        names = [f"__k{i}" for i in range(len(keys))]
+        counts = df.groupBy(
+            *[F.col(key).alias(name) for key, name in zip(keys, names)],
+            F.floor(order / F.lit(cell)).cast("long").alias("__cell"),
+        ).agg(F.count("*").alias("__n"))
+        whole = Window.partitionBy(*names)
+        upto = F.sum("__n").over(whole.orderBy("__cell"))
+        many = counts.withColumn("__all", F.sum("__n").over(whole)).where(F.col("__all") > rows)
+        passed = many.withColumn("__upto", upto).where(
+            (F.floor(F.col("__upto") / rows) > F.floor((F.col("__upto") - F.col("__n")) / rows)) | (F.col("__n") > rows)
         )
-        fullest = F.max("__n")
-        width = F.when(fullest <= rows, F.floor(F.lit(rows) / fullest) * cell).otherwise(
-            F.greatest(F.lit(1), F.floor(F.lit(cell) / F.ceil(fullest / rows)))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("__n") / rows)).cast("int")
+        width = F.lit(cell).cast("long")
+        part = F.floor(F.col("__i") * width / F.col("__parts")).cast("long")
+        bounds = (
+            passed.withColumn("__parts", parts)
+            .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__parts") - F.when(F.col("__parts") > 1, 0).otherwise(1))))
+            .groupBy(*names)
+            .agg(F.array_sort(F.collect_set(F.col("__cell") * width + part)).alias("__bounds"))
         )
-        return cls(None, counts.agg(F.coalesce(width, F.lit(cell)).cast("long")).scalar())
-
-    def of(self, order: Column) -> Column:
-        if self.width is not None:
-            return F.floor(order / self.width).cast("long")
-        if self.minutes is not None:
-            return F.floor(order / F.lit(self.minutes * MICROS_PER_MINUTE)).cast("long")
-        return F.lit(0).cast("long")
+        return cls(None, tuple(keys), bounds)
+
+    def attach(self, df: DataFrame, order: Column) -> DataFrame:
+        """`df` with the segment of each row and whether its key is cut."""
+        if self.bounds is None:
+            cut = self.minutes is not None
+            segment = F.floor(order / F.lit((self.minutes or 1) * MICROS_PER_MINUTE)).cast("long")
+            return df.withColumns({CUT: F.lit(cut), SEGMENT: segment if cut else F.lit(0).cast("long")})
+        same = F.lit(True)
+        for i, key in enumerate(self.keys):
+            same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
+        joined = df.join(F.broadcast(self.bounds), same, "left")
+        # How many bounds are at or below the order value, found by halving.
+        found = F.aggregate(
+            F.sequence(F.lit(_STEPS), F.lit(0), F.lit(-1)),
+            F.lit(0).cast("long"),
+            lambda at, step: F.when(
+                F.try_element_at("__bounds", (at + F.pow(F.lit(2), step)).cast("int")) <= order,
+                (at + F.pow(F.lit(2), step)).cast("long"),
+            ).otherwise(at),
+        )
+        placed = joined.withColumns({CUT: F.col("__bounds").isNotNull(), SEGMENT: F.when(F.col("__bounds").isNotNull(), found).otherwise(F.lit(0).cast("long"))})
+        return placed.drop("__bounds", *[f"__k{i}" for i in range(len(self.keys))])
 
 
 class KeyedSeries:
     """A DataFrame of series identified by `keys` and ordered by `order`.
 
-    `order` are column names; the first must be a long in the unit of the segmentation. Order values must be unique inside a key for a deterministic result.
+    `order` are column names; the first must be a long in the unit of the segmentation. Order
+    values must be unique inside a key for a deterministic result. Where only running sums, maxima
+    and minima are asked for, later ones may be sort expressions.
     """
 
     def __init__(
         self,
         df: DataFrame,
         keys: Sequence[str],
-        order: Sequence[str],
+        order: Sequence[str | Column],
         segmentation: Segmentation,
         *,
         halo: int = 0,
@@ -87,13 +127,18 @@ class KeyedSeries:
         self.keys = list(keys)
         self.order = list(order)
         self.segmentation = segmentation
-        frame = df.withColumn(SEGMENT, segmentation.of(F.col(self.order[0])))
+        frame = segmentation.attach(df, F.col(self.order[0]))
         self.df = self._with_halo(frame, halo)
 
     @property
     def local(self) -> Window:
         """Rows of one segment (with its halo) in order."""
-        return Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
+        return Window.partitionBy(*self._segment).orderBy(*self.order)
+
+    @property
+    def _segment(self) -> list[str]:
+        # With the flag among them, a filter on cut keys goes below the windows to the scan.
+        return [*self.keys, CUT, SEGMENT]
 
     @property
     def running(self) -> Window:
@@ -106,12 +151,12 @@ class KeyedSeries:
         if rows == 0:
             return frame.withColumn(GHOST, F.lit(False))
         columns = frame.columns
-        newest = Window.partitionBy(*self.keys, SEGMENT).orderBy(
+        newest = Window.partitionBy(*self._segment).orderBy(
             *[F.col(name).desc() for name in self.order]
         )
         # row_number <= n is pushed below the shuffle as a per-task group limit.
         tails = (
-            frame.withColumn("__rn", F.row_number().over(newest))
+            frame.filter(CUT).withColumn("__rn", F.row_number().over(newest))
             .filter(F.col("__rn") <= rows)
             .drop("__rn")
         )
@@ -149,13 +194,14 @@ class KeyedSeries:
         minima: Mapping[str, Column] | None = None,
         key_maxima: Mapping[str, Column] | None = None,
         key_minima: Mapping[str, Column] | None = None,
+        key_sums: Mapping[str, Column] | None = None,
         emas: Mapping[str, tuple[Column, int]] | None = None,
     ) -> KeyedSeries:
         """Add results that depend on all earlier rows (or all rows) of the key.
 
         sums, maxima, minima and lasts are running up to the current row (`lasts` is the
-        latest non-null value); firsts is the first row's value; key_maxima / key_minima
-        are over the whole key; emas maps a name to (value, span), see `ema`. Asking for
+        latest non-null value); firsts is the first row's value; key_maxima, key_minima and
+        key_sums are over the whole key; emas maps a name to (value, span), see `ema`. Asking for
         everything in one call shares one carry table and one join.
         """
         emas = dict(emas or {})
@@ -173,6 +219,7 @@ class KeyedSeries:
             "min": dict(minima or {}),
             "key_max": dict(key_maxima or {}),
             "key_min": dict(key_minima or {}),
+            "key_sum": dict(key_sums or {}),
         }
         inputs = {
             name: F.when(~F.col(GHOST), expr)
@@ -193,9 +240,19 @@ class KeyedSeries:
             local[name] = F.min(source(name)).over(self.running)
         for name in kinds["last"]:
             local[name] = F.last(source(name), ignorenulls=True).over(self.running)
+        # Results over the whole of a key that is not cut.
+        whole = self.local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        for name in kinds["first"]:
+            local[f"__w_{name}"] = F.first(source(name)).over(self.running)
+        for name in kinds["key_max"]:
+            local[f"__w_{name}"] = F.max(source(name)).over(whole)
+        for name in kinds["key_min"]:
+            local[f"__w_{name}"] = F.min(source(name)).over(whole)
+        for name in kinds["key_sum"]:
+            local[f"__w_{name}"] = F.sum(source(name)).over(whole)
         at = F.struct(*self.order)
         totals = []
-        for name in kinds["sum"]:
+        for name in (*kinds["sum"], *kinds["key_sum"]):
             totals.append(F.sum(source(name)).alias(f"__c_{name}"))
         for name in (*kinds["max"], *kinds["key_max"]):
             totals.append(F.max(source(name)).alias(f"__c_{name}"))
@@ -212,7 +269,7 @@ class KeyedSeries:
             totals.append(F.min_by(f"__x_{name}", "__i").alias(f"__c_seed_{name}"))
         if spans:
             totals.append(F.count("*").cast("double").alias("__c_rows"))
-        segments = frame.filter(~F.col(GHOST)).groupBy(*self.keys, SEGMENT).agg(*totals)
+        segments = frame.filter(F.col(CUT) & ~F.col(GHOST)).groupBy(*self._segment).agg(*totals)
         across = Window.partitionBy(*self.keys).orderBy(SEGMENT)
         before = across.rowsBetween(Window.unboundedPreceding, -1)
         whole_key = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -235,13 +292,15 @@ class KeyedSeries:
             carried[f"__p_{name}"] = F.max(carry(name)).over(whole_key)
         for name in kinds["key_min"]:
             carried[f"__p_{name}"] = F.min(carry(name)).over(whole_key)
+        for name in kinds["key_sum"]:
+            carried[f"__p_{name}"] = F.sum(carry(name)).over(whole_key)
         for name, span in spans.items():
             carried[f"__p_{name}"] = self._ema_carry(name, span, across, whole_key)
         carries = segments.select(
-            *self.keys, SEGMENT, *[expr.alias(name) for name, expr in carried.items()]
+            *self._segment, *[expr.alias(name) for name, expr in carried.items()]
         )
 
-        joined = frame.join(carries, [*self.keys, SEGMENT], "left").withColumns(local)
+        joined = frame.withColumns(local).join(carries, self._segment, "left")
         final: dict[str, Column] = {}
         for name in kinds["sum"]:
             past, here = F.col(f"__p_{name}"), F.col(name)
@@ -253,13 +312,16 @@ class KeyedSeries:
         for name in kinds["last"]:
             final[name] = F.coalesce(F.col(name), F.col(f"__p_{name}"))
         for name in kinds["first"]:
-            final[name] = F.col(f"__p_{name}").getField(f"__in_{name}")
-        for name in (*kinds["key_max"], *kinds["key_min"]):
-            final[name] = F.col(f"__p_{name}")
+            carried_first = F.col(f"__p_{name}").getField(f"__in_{name}")
+            final[name] = F.when(F.col(CUT), carried_first).otherwise(F.col(f"__w_{name}"))
+        for name in (*kinds["key_max"], *kinds["key_min"], *kinds["key_sum"]):
+            final[name] = F.when(F.col(CUT), F.col(f"__p_{name}")).otherwise(F.col(f"__w_{name}"))
         for name, span in spans.items():
-            final[name] = F.col(f"__e_{name}") + _past_weight(span) * F.col(f"__p_{name}")
+            past = F.when(F.col(CUT), F.col(f"__p_{name}")).otherwise(F.col(f"__s_{name}"))
+            final[name] = F.col(f"__e_{name}") + _past_weight(span) * past
         self.df = joined.withColumns(final).drop(
-            *[f"__in_{name}" for name in inputs], *carried, *self._ema_columns(spans)
+            *[f"__in_{name}" for name in inputs], *[name for name in local if name.startswith("__w_")],
+            *carried, *self._ema_columns(spans),
         )
         return self
 
@@ -268,7 +330,7 @@ class KeyedSeries:
         return self.accumulate(emas={name: (value, span)})
 
     def _ema_columns(self, spans: Mapping[str, int]) -> list[str]:
-        return ["__i", *[f"__{kind}_{name}" for name in spans for kind in ("x", "e")]]
+        return ["__i", *[f"__{kind}_{name}" for name in spans for kind in ("x", "e", "s")]]
 
     def _local_emas(self, emas: Mapping[str, tuple[Column, int]]) -> None:
         """Mean of the segment's own rows, as if everything before it were zero.
@@ -278,7 +340,7 @@ class KeyedSeries:
         precision). The seed is the same as a past mean equal to the first value, so it is
         added with the carry.
         """
-        own = Window.partitionBy(*self.keys, SEGMENT, GHOST).orderBy(*self.order)
+        own = Window.partitionBy(*self._segment, GHOST).orderBy(*self.order)
         frame = self.df.withColumns(
             {
                 "__i": (F.row_number().over(own) - 1).cast("double"),
@@ -290,7 +352,7 @@ class KeyedSeries:
             block = _ema_block(span)
             x = F.col(f"__x_{name}")
             in_block = (
-                Window.partitionBy(*self.keys, SEGMENT, GHOST, "__block")
+                Window.partitionBy(*self._segment, GHOST, "__block")
                 .orderBy(*self.order)
                 .rowsBetween(Window.unboundedPreceding, 0)
             )
@@ -310,6 +372,7 @@ class KeyedSeries:
                     f"__e_{name}",
                     F.col("__s") + F.coalesce(decay * keep * F.col("__prev"), F.lit(0.0)),
                 )
+                .withColumn(f"__s_{name}", F.first(x).over(own.rowsBetween(Window.unboundedPreceding, 0)))
                 .drop("__block", "__pos", "__s", "__prev")
             )
         self.df = frame
@@ -331,7 +394,7 @@ class KeyedSeries:
         )
 
     def finish(self) -> DataFrame:
-        return self.df.filter(~F.col(GHOST)).drop(SEGMENT, GHOST)
+        return self.df.filter(~F.col(GHOST)).drop(SEGMENT, CUT, GHOST)
 
 
 def _keep(span: int) -> float:
