@@ -129,7 +129,7 @@ class Encoder:
             line = parts[first : first + LINE_PARTS]
             coded = self.library.encode_batch_fast([f" {' '.join(line)}"], add_special_tokens=False)
             ids = np.array(coded[0].ids, "<u4")
-            stops = np.cumsum([len(part.encode("utf-8")) + 1 for part in line])
+            stops = np.cumsum([len(part) + 1 if part.isascii() else len(part.encode("utf-8")) + 1 for part in line])
             cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), stops) + 1) * 4
             data, at = ids.tobytes(), 0
             for cut in cuts.tolist():
@@ -138,28 +138,35 @@ class Encoder:
 
     def learn(self, parts: set[str]) -> None:
         """Puts the ids of every ` part` that can stand alone into `known`."""
+        known = self.known
         split = {}
-        for part in parts:
+        new = [part for part in parts if part.isalnum()]
+        for part in parts.difference(new):
             if not part or part != part.strip():
                 continue
             stem = part.rstrip(CLOSING)
-            if stem and stem[-1].isalnum():
+            if stem.isalnum():
                 split[part] = stem, part[len(stem) :]
+            elif stem and stem[-1].isalnum():
                 # `end.` and `Next` of "end.\nNext" are found more often than the whole.
                 first, feed, last = stem.partition("\n")
                 before = first.rstrip(CLOSING)
                 if feed and before and before[-1].isalnum() and last.isalnum():
                     split[part] = before, first[len(before) :] + feed, last, part[len(stem) :]
+                else:
+                    split[part] = stem, part[len(stem) :]
             else:
                 split[part] = part, ""
-        new = list({each[0] for each in split.values()}.difference(self.known))
-        rest = list({piece for each in split.values() for piece in each[1:]}.difference(self.closings))
-        self.known.update(zip(new, self.together(new), strict=True))
-        self.closings.update(zip(rest, self.whole(rest), strict=True))
+        new += {each[0] for each in split.values()}.difference(known, new)
+        known.update(zip(new, self.together(new), strict=True))
         closings = self.closings
-        for part, (stem, *pieces) in split.items():
-            if pieces != [""]:
-                self.known[part] = self.known[stem] + b"".join([closings[piece] for piece in pieces])
+        rest = list({piece for each in split.values() for piece in each[1:]}.difference(closings))
+        closings.update(zip(rest, self.whole(rest), strict=True))
+        for part, pieces in split.items():
+            if len(pieces) == 2:
+                known[part] = known[pieces[0]] + closings[pieces[1]]
+            else:
+                known[part] = known[pieces[0]] + b"".join([closings[piece] for piece in pieces[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
@@ -174,10 +181,11 @@ class Encoder:
         self.learn({part[i + 1] for part, places in zip(parts, holes) for i in places})
         out = []
         for text, opening, part, ids, places in zip(texts, openings, parts, found, holes, strict=True):
-            for i in places:
-                ids[i] = get(part[i + 1])
             sound = part[0] == part[0].strip() and not any(word in text for word in self.special)
-            if sound and not (places and None in ids):
+            for i in places:
+                ids[i] = each = get(part[i + 1])
+                sound = sound and each is not None
+            if sound:
                 out.append(opening + b"".join(ids))
             else:  # a part that cannot stand alone, or an added token
                 out.append(self.whole([text])[0])
