@@ -45,7 +45,7 @@ KEPT_PARTS = 1_200_000
 LINE_PARTS = 2_000
 
 
-def pack(ids: np.ndarray, level: int = 3) -> bytes:
+def pack(ids: np.ndarray, level: int = 1) -> bytes:
     """A chunk of ids below 2^32 as compressed bit planes."""
     ids = np.ascontiguousarray(ids, "<u4")
     press = zstandard.ZstdCompressor(level=level).compress
@@ -54,7 +54,8 @@ def pack(ids: np.ndarray, level: int = 3) -> bytes:
         block = ids[first : first + BLOCK_IDS]
         used = int(np.bitwise_or.reduce(block))
         # Rows of `bits` are ids, least significant bit first; its columns are the planes.
-        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        rows = block.astype("<u2") if used < 1 << 16 else block
+        bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
         planes = np.packbits(np.ascontiguousarray(bits.T[: used.bit_length()]), axis=1)
         packed = [press(planes[k].tobytes()) for k in range(used.bit_length()) if used >> k & 1]
         heads.append(struct.pack(f"<I{len(packed)}I", used, *map(len, packed)))
@@ -78,13 +79,13 @@ def unpack(data: bytes) -> np.ndarray:
     out = np.empty(size, "<u4")
     first = 0
     for count, used, lengths in blocks:
-        narrow = used < 1 << 16
-        bits = np.zeros((16 if narrow else 32, count), np.uint8)
+        kind = "<u2" if used < 1 << 16 else "<u4"
+        block = np.zeros(count, kind)
         for k, length in zip((k for k in range(32) if used >> k & 1), lengths, strict=True):
-            bits[k] = np.unpackbits(np.frombuffer(expand(data[at : at + length]), np.uint8), count=count)
+            plane = np.unpackbits(np.frombuffer(expand(data[at : at + length]), np.uint8), count=count).astype(kind)
+            block |= plane << np.array(k, kind)
             at += length
-        whole = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-        out[first : first + count] = whole.view("<u2" if narrow else "<u4").ravel()
+        out[first : first + count] = block
         first += count
     return out
 
