@@ -19,7 +19,7 @@ from tidemark.functions.text import (
     headline_direction,
     normalized_symbols,
 )
-from tidemark.operators.scaling import reliable_checkpoint, settle
+from tidemark.operators.scaling import settle
 
 # Fixed values ------------------------------------------------------------------------
 CONTEXT_FEATURE_VERSION = "context-v1"
@@ -369,10 +369,7 @@ def context_scores(
         F.col("external_id").alias("d"), F.col("__score").alias("score"),
     )
     cap = F.when(F.col("kind") == "social", SOCIAL_CAP).otherwise(EVENT_CAP)
-    # The scored items are read four times below; they are small next to the records.
-    lean = reliable_checkpoint(
-        scored.select("kind", "symbol", "__score", "__family", item.alias("__item"))
-    )
+    lean = scored.select("kind", "symbol", "__score", "__family", item.alias("__item"))
 
     def newest(frame: DataFrame, group: list[str], name: str) -> DataFrame:
         w = Window.partitionBy(*group).orderBy(F.col("__item").desc())
@@ -392,17 +389,30 @@ def context_scores(
             F.count_if(F.col("__family").isin(*EARNINGS_FAMILIES)).alias(f"{prefix}e"),
         )
 
-    own = lean.filter(F.col("symbol").isNotNull())
-    shared = lean.filter(F.col("symbol").isNull())
-    grid = symbols.select("symbol").distinct().select(
+    # Records without a symbol are a group of their own per kind; both are found in one go.
+    best_of = newest(lean, ["symbol", "kind"], "__best_of")
+    number_of_items = counts(lean, ["symbol", "kind"], "__")
+    cells_of = number_of_items.join(
+        best_of.select(F.col("symbol").alias("__symbol"), F.col("kind").alias("__kind"), "__best_of"),
+        (F.col("kind") == F.col("__kind")) & F.col("symbol").eqNullSafe(F.col("__symbol")),
+        "left",
+    ).drop("__symbol", "__kind")
+    everyone = symbols.select("symbol").distinct()
+    nobody = everyone.sparkSession.range(1).select(F.lit(None).cast("string").alias("symbol"))
+    grid = everyone.unionByName(nobody).select(
         "symbol", F.explode(F.array(*[F.lit(kind) for kind in KINDS])).alias("kind")
     )
-    joined = (
-        grid.join(newest(own, ["symbol", "kind"], "__own"), ["symbol", "kind"], "left")
-        .join(counts(own, ["symbol", "kind"], "__o"), ["symbol", "kind"], "left")
-        .join(newest(shared, ["kind"], "__shared"), "kind", "left")
-        .join(counts(shared, ["kind"], "__s"), "kind", "left")
-    )
+    own = cells_of.select(F.col("symbol").alias("__symbol"), F.col("kind").alias("__kind"), F.col("__n").alias("__on"), F.col("__e").alias("__oe"), F.col("__best_of").alias("__own"))
+    met = grid.join(own, (F.col("kind") == F.col("__kind")) & F.col("symbol").eqNullSafe(F.col("__symbol")), "left")
+    # A kind has one row per symbol here.
+    of_kind = Window.partitionBy("kind")
+    unnamed = F.col("symbol").isNull()
+    joined = met.select(
+        "symbol", "kind", "__own", "__on", "__oe",
+        F.max(F.when(unnamed, F.col("__own"))).over(of_kind).alias("__shared"),
+        F.max(F.when(unnamed, F.col("__on"))).over(of_kind).alias("__sn"),
+        F.max(F.when(unnamed, F.col("__oe"))).over(of_kind).alias("__se"),
+    ).filter(F.col("symbol").isNotNull())
     pool = F.concat(
         F.coalesce("__own", F.array().cast(_item_type())),
         F.coalesce("__shared", F.array().cast(_item_type())),

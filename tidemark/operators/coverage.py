@@ -198,13 +198,14 @@ def coverage_status(
 
 
 def accept_gaps(
-    first: DataFrame, second: DataFrame, trades: DataFrame | None = None, minutes: int = 1
+    first: DataFrame, second: DataFrame, trades: DataFrame | None = None, minutes: int = 1,
+    *, of_others: bool = False,
 ) -> DataFrame:
     """Accept a gap that two observations agree on.
 
     With a trades table (symbol, traded_at, creates_bar) the gap is `accepted_sparse` only if
-    no bar-eligible trade falls into a missing minute. Without one it is `accepted_gap` when
-    at most five minutes are missing.
+    no bar-eligible trade falls into a missing minute, of its own symbol or, with `of_others`, of
+    any other one. Without one it is `accepted_gap` when at most five minutes are missing.
     """
     both = first.select(*KEY, "status", "reason", "missing").join(
         second.select(
@@ -221,26 +222,17 @@ def accept_gaps(
         label, why = "accepted_gap", GAP_REASON
         frame = both
     else:
-        contradicted = (
-            both.filter(agreed)
-            .select(*KEY, F.explode("missing").alias("start"))
-            .join(
-                trades.filter("creates_bar").select(
-                    "symbol",
-                    F.timestamp_micros(
-                        (
-                            F.floor(F.unix_micros("traded_at") / (minutes * 60_000_000))
-                            * (minutes * 60_000_000)
-                        ).cast("long")
-                    ).alias("start"),
-                ),
-                ["symbol", "start"],
-                "left_semi",
-            )
-            .select(*KEY)
-            .distinct()
-            .withColumn("__traded", F.lit(True))
-        )
+        width = minutes * 60_000_000
+        start = F.timestamp_micros((F.floor(F.unix_micros("traded_at") / width) * width).cast("long"))
+        made = trades.filter("creates_bar").select("symbol", start.alias("start"))
+        gaps = both.filter(agreed).select(*KEY, F.explode("missing").alias("start"))
+        if of_others:
+            # The first and the last symbol of a minute tell whether another one traded in it.
+            busy = made.groupBy("start").agg(F.min("symbol").alias("__low"), F.max("symbol").alias("__high"))
+            met = gaps.join(busy, "start").filter((F.col("__low") != F.col("symbol")) | (F.col("__high") != F.col("symbol")))
+        else:
+            met = gaps.join(made, ["symbol", "start"], "left_semi")
+        contradicted = met.select(*KEY).distinct().withColumn("__traded", F.lit(True))
         frame = both.join(contradicted, KEY, "left")
         accepted = agreed & F.col("__traded").isNull()
         label, why = "accepted_sparse", SPARSE_REASON

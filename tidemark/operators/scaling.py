@@ -1,37 +1,10 @@
-"""Sizing and lineage helpers shared by the operators.
-
-Nothing here runs a job: sizes come from the optimizer's own statistics, which for file
-sources are the file sizes.
-"""
+"""Helpers that keep plans small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.shared import shared_root
-
-MIB = 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes of all inputs a DataFrame reads, by the optimizer's statistics.
-
-    Inputs are summed rather than taking the optimizer's estimate of the result, which for
-    a join is the product of both sides. Joins here are lookups on a key of one side, so a
-    result is not larger than its inputs together. An input of unknown size counts as huge.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
-
 
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """Compute `names` once, here.

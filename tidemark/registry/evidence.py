@@ -9,6 +9,8 @@ from tidemark.functions import text
 from tidemark.operators import context
 from tidemark.registry.core import query, sql_view, table
 from tidemark.registry.views import us
+from tidemark.shared import shared_folder
+from tidemark.sources import tables
 
 POSITIVE = ("the", "is", "le", "el", "die")
 NEGATIVE = ("and", "of", "la", "los", "der")
@@ -171,6 +173,39 @@ def context_associations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _upserted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The records stored in two batches that share keys, then read back."""
+    prepared = _prepared(spark, folder)
+    root = shared_folder(spark)
+    first = F.pmod(F.xxhash64("external_id", "received_at"), F.lit(2)) == 0
+    for batch in (prepared.filter(first), prepared.filter(~first)):
+        tables.upsert_context(batch, root)
+    schemas = context.merge_content(prepared).schema, context.merge_associations(prepared).schema
+    return tables.read_context(spark, root, *schemas)
+
+
+@query(
+    "context_upsert",
+    "SELECT kind, dedupe_key, provider, external_id, source_us, received_us, payload FROM content",
+    "content",
+)
+def context_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches upserted by bucket give the content of all records."""
+    return _upserted(spark, folder)[0].select(
+        "kind", "dedupe_key", "provider", "external_id", us("source_at").alias("source_us"),
+        us("received_at").alias("received_us"), "payload",
+    )
+
+
+@query("context_upsert_links", "SELECT * FROM assoc", "assoc")
+def context_upsert_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for the symbols of news."""
+    return _upserted(spark, folder)[1].select(
+        "kind", "dedupe_key", "symbol", us("source_at").alias("source_us"),
+        us("received_at").alias("received_us"),
+    )
+
+
 @query(
     "context_asof",
     "SELECT kind, dedupe_key, symbol, source_us, received_us, external_id FROM known",

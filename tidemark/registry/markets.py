@@ -457,13 +457,13 @@ def coverage_status(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _accepted(spark: SparkSession, folder: str, trades: DataFrame | None) -> DataFrame:
+def _accepted(spark: SparkSession, folder: str, trades: DataFrame | None, **options: bool) -> DataFrame:
     b, keys, schedule = _grid(spark, folder)
     first = coverage.coverage_status(b, keys, schedule, 60)
     # The second look lost every bar of the fifth of the month at noon.
     again = b.filter(~((F.dayofmonth("start") == 5) & (F.hour("start") == 12)))
     second = coverage.coverage_status(again, keys, schedule, 60)
-    return coverage.accept_gaps(first, second, trades, 60)
+    return coverage.accept_gaps(first, second, trades, 60, **options)
 
 
 @query(
@@ -547,13 +547,10 @@ FROM (SELECT s.*, n > 0 AND missing > 0 AND h.symbol IS NULL AND c.symbol IS NUL
 def sparse_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps nobody traded in: the other symbols' ticks stand in for a symbol's trade prints."""
     ticks = quotes_dense(spark, folder)
-    named = ticks.agg(F.collect_set("symbol")).scalar()  # one entry per listed symbol
     prints = ticks.select(
-        F.explode(F.array_remove(named, F.col("symbol"))).alias("symbol"),
-        F.col("received_at").alias("traded_at"),
-        (F.col("event_id") % 4 == 0).alias("creates_bar"),
+        "symbol", F.col("received_at").alias("traded_at"), (F.col("event_id") % 4 == 0).alias("creates_bar")
     )
-    return _accepted(spark, folder, prints).select(
+    return _accepted(spark, folder, prints, of_others=True).select(
         "symbol", day_text("session_date").alias("session"), "status"
     )
 
@@ -844,3 +841,73 @@ def shadow_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         "time_to_entry_seconds",
         *[F.round(c, 8).alias(c) for c in ("shadow_return", "net_return", "eod_return")],
     )
+
+
+# ---- rules of single quotes, phases and stored quotes ---------------------------------
+
+@query(
+    "quote_freshness",
+    f"""
+WITH q AS (SELECT event_id, received_us, received_us + (event_id % 11 - 1) * 60000000 AS decided_us FROM quotes_dense),
+e AS (SELECT *, CAST({ET.format("received_us")} AS DATE) AS own, CAST({ET.format("decided_us")} AS DATE) AS theirs FROM q)
+SELECT event_id, CASE WHEN own <> theirs THEN 'another session' WHEN decided_us < received_us THEN 'received after decision'
+       WHEN decided_us - received_us > 300000000 THEN 'stale quote' WHEN decided_us % 86400000000 < 50400000000 THEN 'before decision time' END AS reason
+FROM e
+""",
+    "quotes_dense",
+)
+def quote_freshness(spark: SparkSession, folder: str) -> DataFrame:
+    """Each quote held against a decision a few minutes before or after it, none before 14:00 UTC."""
+    minutes = (F.col("event_id") % 11 - 1).cast("long")
+    frame = quotes_dense(spark, folder).withColumn("decided_at", F.timestamp_micros(F.unix_micros("received_at") + minutes * 60_000_000))
+    opening = F.date_trunc("day", "decided_at") + F.expr("INTERVAL 14 HOURS")
+    return frame.select("event_id", quality.freshness_reason(F.col("received_at"), F.col("decided_at"), opening).alias("reason"))
+
+
+@query(
+    "session_quotes",
+    """SELECT symbol, event_id, received_us FROM quotes
+       WHERE symbol = 'U7' AND session = (SELECT max(session) FROM quotes WHERE symbol = 'U7')""",
+    "quotes",
+)
+def session_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """One symbol's newest session, the symbol written as a user might."""
+    rows = quotes(spark, folder)
+    newest = rows.filter("symbol = 'U7'").agg(F.max("session_date")).scalar()
+    return quality.session_quotes(rows, " u7 ", newest).select("symbol", "event_id", us("received_at").alias("received_us"))
+
+
+@query(
+    "phase_rows",
+    """SELECT symbol, session, CAST(count_if(phase = 'PRE_MARKET') AS BIGINT) AS pre_market_rows, CAST(count_if(phase = 'REGULAR') AS BIGINT) AS regular_rows,
+              CAST(count_if(phase = 'POST_MARKET') AS BIGINT) AS post_market_rows, CAST(count_if(phase IS NULL) AS BIGINT) AS outside_rows,
+              CAST(count_if(start_us % 7200000000 = 0) AS BIGINT) AS wrong_length_rows
+       FROM phased GROUP BY symbol, session""",
+    "phased",
+)
+def phase_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly bars per phase; those of even hours claim a second too many."""
+    b = bars(spark, folder)
+    late = F.timestamp_micros(F.unix_micros("end") + F.when(F.pmod(F.unix_micros("start"), F.lit(7_200_000_000)) == 0, 1_000_000).otherwise(0))
+    return coverage.phase_rows(b.withColumn("end", late), 60).select(
+        "symbol", day_text("session_date").alias("session"), "pre_market_rows", "regular_rows", "post_market_rows", "outside_rows", "wrong_length_rows",
+    )
+
+
+@query(
+    "quotes_insert_absent",
+    """SELECT symbol, received_us // 3600000000 * 3600000000 AS hour_us, event_id FROM quotes_dense
+       QUALIFY row_number() OVER (PARTITION BY symbol, received_us // 3600000000 ORDER BY event_id % 3, event_id) = 1""",
+    "quotes_dense",
+)
+def quotes_insert_absent(spark: SparkSession, folder: str) -> DataFrame:
+    """One quote a symbol and hour, inserted where absent in three batches and read back."""
+    from tidemark.shared import shared_folder
+    from tidemark.sources import versions
+
+    hour = F.date_trunc("hour", "received_at")
+    rows = quotes_dense(spark, folder).select("symbol", hour.alias("hour"), "event_id")
+    root = shared_folder(spark)
+    for part in range(3):
+        versions.insert_absent(rows.filter(F.col("event_id") % 3 == part), root, ["symbol", "hour"], ["event_id"], along="hour")
+    return versions.read_inserted(spark, root, rows.schema).select("symbol", us("hour").alias("hour_us"), "event_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import REGULAR, SCHEDULE_SOURCE, exchange_date, session_phase
 from tidemark.operators.quality import safe_partition_value
 from tidemark.operators.universe import content_digest
+from tidemark.sources.versions import BUCKETS, read_buckets, upsert
 
 COHORT_ROWS = 30
 
@@ -293,12 +294,24 @@ def archive_schedules(schedules: DataFrame, path: str) -> None:
     append_absent(schedules, path, ["session"])
 
 
-def refresh_context(prepared: DataFrame, root: str) -> None:
-    """Recompute the merged context tables from all landed records.
+def upsert_context(prepared: DataFrame, root: str, *, buckets: int = BUCKETS) -> None:
+    """Merge a batch of records into the context tables; only the batch's buckets are written.
 
-    The merge rules do not depend on arrival order, so recomputing is the upsert.
+    The merge rules do not depend on arrival order and may be applied to their own results, so
+    any split into batches gives the same tables.
     """
-    from tidemark.operators.context import merge_associations, merge_content
+    from tidemark.operators.context import CONTENT_KEY, merge_associations, merge_content
 
-    merge_content(prepared).write.mode("overwrite").parquet(f"{root}/content")
-    merge_associations(prepared).write.mode("overwrite").parquet(f"{root}/associations")
+    columns = [name for name in merge_content(prepared).columns]
+    upsert(prepared.select(*columns), f"{root}/content", CONTENT_KEY, merge_content, buckets=buckets)
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return merge_associations(rows.withColumn("symbols", F.array("symbol")))
+
+    news = merge_associations(prepared)
+    upsert(news, f"{root}/associations", CONTENT_KEY, merge, buckets=buckets)
+
+
+def read_context(spark: SparkSession, root: str, content, associations) -> tuple[DataFrame, DataFrame]:
+    """The newest content and associations, given their schemas."""
+    return read_buckets(spark, f"{root}/content", content), read_buckets(spark, f"{root}/associations", associations)
