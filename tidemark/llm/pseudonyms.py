@@ -9,7 +9,9 @@ separated in the text, and different ones stay apart.
 A value is an array of symbols with an alphabet size each (10 for a digit, 16 or 26 for a
 letter, 256 for an octet). The network splits it into two halves; each round adds keyed hashes
 of one half to the other, modulo the alphabet sizes. A round can be undone, so the whole is a
-permutation of the format. All work is within the row, in DataFrame functions.
+permutation of the format. Where a format has numbers that are never issued (ssn), the network is
+applied again until the number is one that is; this walk along a cycle of the permutation leads from
+each valid number to another one and back. All work is within the row, in DataFrame functions.
 
 Edge cases: null stays null; values that fail their validation stay as they are; a text without
 values comes back unchanged; repeated rows, empty tables and further columns are passed through.
@@ -20,8 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The key where the session names none; it is public, so set `spark.tidemark.pseudonymKey`.
 KEY = "tidemark-demo-key"
+KEY_CONF = "spark.tidemark.pseudonymKey"
 ROUNDS = 8
+#: Steps of a walk; one in nine numbers is not valid, so 40 of these in a row do not happen.
+WALK = 40
 
 # One pattern per kind; the first kind whose pattern is found at a place wins.
 KINDS = {
@@ -35,7 +41,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
 #: A cheap look that every text with a value passes.
-HINT = r"@[A-Za-z0-9]|[0-9]{3}|[0-9]\.[0-9]"
+HINT = r"@[A-Za-z0-9]|[0-9][ -]?[0-9][ -]?[0-9]|[0-9]\.[0-9]"
 #: Days of the 400-year cycle of the calendar, from 1800-01-01; 146097 = 189 * 773.
 FIRST_DAY, CYCLE = "1800-01-01", (189, 773)
 
@@ -64,6 +70,14 @@ def feistel(symbols: str, sizes: str, kind: str, key: str = KEY, undo: bool = Fa
         x -> concat(x.l, x.r))"""
 
 
+def walked(symbols: str, sizes: str, kind: str, key: str, undo: bool) -> str:
+    """SQL for the permuted array of an ssn's digits, moved on until they are a valid number."""
+    issued = """NOT (y[0] = 9 OR (y[0] = 0 AND y[1] = 0 AND y[2] = 0) OR (y[0] = 6 AND y[1] = 6 AND y[2] = 6)
+        OR (y[3] = 0 AND y[4] = 0) OR (y[5] = 0 AND y[6] = 0 AND y[7] = 0 AND y[8] = 0))"""
+    return f"""aggregate(sequence(1, {WALK}), {feistel(symbols, sizes, kind, key, undo)},
+        (y, step) -> IF({issued}, y, {feistel("y", sizes, kind, key, undo)}))"""
+
+
 def luhn(digits: str) -> str:
     """SQL for the check sum of a digit array; it is a multiple of ten for valid numbers."""
     doubled = f"transform(reverse({digits}), (d, i) -> IF(i % 2 = 0, d, IF(d > 4, 2 * d - 9, 2 * d)))"
@@ -142,11 +156,13 @@ def _kind() -> str:
         ELSE 'card' END"""
 
 
-def replaced(df: DataFrame, text: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
+def replaced(df: DataFrame, text: str = "text", key: str | None = None, undo: bool = False) -> DataFrame:
     """Every row as `row` (all columns of `df`), its `new_text` and `found`, the values by kind.
 
-    `found` has the kinds of the replaced values in their order. `undo` turns pseudonyms back.
+    `found` has the kinds of the replaced values in their order. `undo` turns pseudonyms back. The
+    key is the session's (KEY_CONF) unless one is given.
     """
+    key = key or df.sparkSession.conf.get(KEY_CONF, None) or KEY
     pattern = F.lit(ANY)
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("t"))
     values = rows.withColumn(
@@ -170,7 +186,8 @@ def replaced(df: DataFrame, text: str = "text", key: str = KEY, undo: bool = Fal
         "m4",
         F.expr(
             f"""transform(m3, m -> named_struct('v', m.v, 'kind', m.kind, 'ok', m.ok,
-                'new', IF(m.ok, {feistel("m.symbols", "m.sizes", "m.kind", key, undo)}, NULL)))"""
+                'new', IF(m.ok, IF(m.kind = 'ssn', {walked("m.symbols", "m.sizes", "m.kind", key, undo)},
+                    {feistel("m.symbols", "m.sizes", "m.kind", key, undo)}), NULL)))"""
         ),
     )
     spelt = moved.withColumn("m5", F.expr(f"transform(m4, m -> IF(m.ok, {_case(_OUT)}, m.v))"))
@@ -193,7 +210,7 @@ def result(df: DataFrame) -> DataFrame:
     )
 
 
-def pseudonymised(df: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(df: DataFrame, key: str | None = None) -> DataFrame:
     """The rows of `df` with the new text, and n_chars to match where `df` has it."""
     columns = [
         F.col("new_text").alias("text")

@@ -7,7 +7,9 @@ distance (root of the divergence in bits, 0 to 1), and takes the nearest languag
 * character classes, for texts of at least `min_words_classes` words;
 * common words, for texts of at least `min_words_common` words.
 
-Shorter texts have too few counts to be judged by distribution and pass. Everything is computed
+Shorter texts have too few counts to be judged by distribution and pass. So do, for common words,
+texts in which less than `min_listed` of all words are listed ones of any one language: they are in
+a language without a reference, which says nothing about their quality. Everything is computed
 within the row, so there is no shuffle and a text of any length is one row's work.
 
 Edge cases: null text counts as empty (no words, so it fails the base rule); repeated rows each
@@ -145,12 +147,18 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
         F.least(*[distance(_with_rest("classes"), [*CLASS_SHARES[x], 1 - sum(CLASS_SHARES[x])]) for x in CLASS_SHARES]).alias("class_distance"),
+        F.greatest(*[_listed(f"words_{x}") for x in COMMON_WORDS]).alias("listed"),
         F.least(*[distance(_with_rest(f"words_{x}"), [*word_shares(x).values(), 1 - sum(word_shares(x).values())]) for x in COMMON_WORDS]).alias("word_distance"),
     )
 
 
+def _listed(name: str) -> Column:
+    """The share of all words that a language's listed words make."""
+    return F.aggregate(name, F.lit(0.0), lambda total, share: total + share)
+
+
 def _with_rest(name: str) -> Column:
-    rest = F.lit(1.0) - F.aggregate(name, F.lit(0.0), lambda total, share: total + share)
+    rest = F.lit(1.0) - _listed(name)
     return F.concat(F.col(name), F.array(F.greatest(rest, F.lit(0.0))))
 
 
@@ -162,11 +170,12 @@ def judged(
     max_class_distance: float = 0.25,
     min_words_common: int = 100,
     max_word_distance: float = 0.30,
+    min_listed: float = 0.10,
 ) -> DataFrame:
     """`measured` with the verdicts base_failed and kept."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     odd = ((F.col("n_words") >= min_words_classes) & (F.col("class_distance") > max_class_distance)) | (
-        (F.col("n_words") >= min_words_common) & (F.col("word_distance") > max_word_distance)
+        (F.col("n_words") >= min_words_common) & (F.col("listed") >= min_listed) & (F.col("word_distance") > max_word_distance)
     )
     return measured(df).withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)
 
@@ -207,10 +216,11 @@ def _sql() -> str:
     classes = [
         js([*((f"c_{name}", share) for name, share in zip(names, shares)), ("c_rest", 1 - sum(shares))]) for shares in CLASS_SHARES.values()
     ]
-    words = []
+    words, listed = [], []
     for language in COMMON_WORDS:
         shares = word_shares(language)
-        rest = f"greatest(0.0, 1.0 - ({' + '.join(f'w_{common.index(word)}' for word in shares)}))"
+        listed.append(f"({' + '.join(f'w_{common.index(word)}' for word in shares)})")
+        rest = f"greatest(0.0, 1.0 - {listed[-1]})"
         words.append(js([*((f"w_{common.index(word)}", share) for word, share in shares.items()), (rest, 1 - sum(shares.values()))]))
     removed_ = lambda pattern: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))"
     marks = MARKS.replace("'", "''").replace(r"\"", '"')
@@ -239,9 +249,10 @@ n AS (SELECT *, greatest(0.0, 1.0 - c_upper - c_digit - c_mark - c_symbol - c_wh
     {", ".join(f"len(list_filter(plain, lambda x: x = '{word}')) / greatest(n_words, 1) AS w_{k}" for k, word in enumerate(common))}
   FROM m),
 s AS (SELECT *, least({", ".join(classes)}) AS class_distance, least({", ".join(words)}) AS word_distance,
+    greatest({", ".join(listed)}) AS listed,
     (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= 50 AND class_distance > 0.25) AND NOT (n_words >= 100 AND word_distance > 0.30) AS kept
+  NOT base_failed AND NOT (n_words >= 50 AND class_distance > 0.25) AND NOT (n_words >= 100 AND listed >= 0.10 AND word_distance > 0.30) AS kept
 FROM s"""
 
 
