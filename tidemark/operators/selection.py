@@ -17,7 +17,7 @@ from tidemark.functions.scores import (
     technical_score,
     usable_scan_quote,
 )
-from tidemark.operators.ordering import position
+from tidemark.operators.ordering import position, rising
 from tidemark.operators.scaling import settle
 from tidemark.policies import (
     CohortPolicy,
@@ -337,9 +337,16 @@ def rank_order(score: str = "rank_score") -> list[Column]:
     ]
 
 
+def rank_along() -> Column:
+    """A long that never falls in `rank_order`: eligible rows first, then by falling score."""
+    first = F.when(F.col("eligible"), F.lit(0)).when(~F.col("eligible"), F.lit(1)).otherwise(F.lit(2))
+    # A score's long is within 2^41 of zero.
+    return first.cast("long") * (1 << 43) - rising(F.col("rank_score"))
+
+
 def rank_all(df: DataFrame, weights: RankingWeights, by: Sequence[str] = ("session",)) -> DataFrame:
     """Position of every candidate in its session."""
-    return position(with_rank_score(df, weights), list(by), rank_order(), name="rank")
+    return position(with_rank_score(df, weights), list(by), rank_order(), along=rank_along(), name="rank")
 
 
 def shortlist(
@@ -399,7 +406,7 @@ def weight_ablation(
     cells = df.select(*by, "symbol", "eligible", F.explode(scores).alias("__v")).select(
         *by, "symbol", "eligible", "__v.variant", "__v.rank_score"
     )
-    return position(cells, [*by, "variant"], rank_order(), name="rank")
+    return position(cells, [*by, "variant"], rank_order(), along=rank_along(), name="rank")
 
 
 def role(primary: Column, finalist: Column, other: str = "CONTROL") -> Column:
@@ -421,7 +428,8 @@ def selection_explanations(
     by = list(by)
     usable = ranked.filter(F.col("eligible") & is_finite(F.col("rank_score")))
     picks = position(
-        usable, by, [F.col("rank_score").desc(), F.col("symbol").asc()], name="final_rank"
+        usable, by, [F.col("rank_score").desc(), F.col("symbol").asc()],
+        along=-rising(F.col("rank_score")), name="final_rank",
     )
     winners = picks.filter("finalist")
     nearest = Window.partitionBy(*by).orderBy("final_rank")

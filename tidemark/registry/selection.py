@@ -531,7 +531,7 @@ def rank_all(spark: SparkSession, folder: str) -> DataFrame:
     )
     from tidemark.operators.ordering import position
 
-    return position(scored, ["session"], selection.rank_order(), name="rank").select(
+    return position(scored, ["session"], selection.rank_order(), along=selection.rank_along(), name="rank").select(
         "symbol", "eligible", F.round("rank_score", 8).alias("rank_score"), "rank"
     )
 
