@@ -63,6 +63,13 @@ def prepare_observations(df: DataFrame, as_of: Column | None = None) -> DataFram
     return frame.filter(observation_problem(frame).isNull())
 
 
+def one_per_time(frame: DataFrame) -> DataFrame:
+    """One row for each time of a key, by the rule of `prepare_observations`."""
+    rest = [name for name in frame.columns if name not in (*KEYS, "received_at", "last_trade_price")]
+    top = F.max(F.struct("last_trade_price", *rest)).alias("__top")
+    return frame.groupBy(*KEYS, "received_at").agg(top).select(*KEYS, "received_at", "__top.*")
+
+
 def _in_opening_range(at: Column, minutes: int) -> Column:
     second = second_of_day(F.from_utc_timestamp(at, EXCHANGE_ZONE))
     start = 9 * 3600 + 30 * 60

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import is_finite
 from tidemark.functions.scores import blended_market_score, market_score
-from tidemark.operators.features import KEYS, market_features, opening_range_check
+from tidemark.operators.features import KEYS, market_features, one_per_time, opening_range_check, prepare_observations
 from tidemark.operators.quality import regular_eligible
 from tidemark.plans.decision import UNKNOWN_SECTOR
 
@@ -44,7 +44,7 @@ def candidate_rows(
     """
     known = quotes if as_of is None else quotes.filter(F.col("received_at") <= as_of)
     samples = regular_eligible(known)
-    features = market_features(samples, as_of=as_of)
+    features = market_features(one_per_time(prepare_observations(samples, as_of)), as_of=as_of)
     last = (
         features.groupBy(*KEYS)
         .agg(

@@ -328,13 +328,30 @@ def sector_return(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "decision_candidates",
     f"""
-WITH q AS (SELECT *, {ET.format("received_us")} AS et, event_id % 9 <> 0 AS ok FROM quotes_dense),
-r AS (SELECT *, hour(et) * 60 + minute(et) AS m FROM q
-      WHERE ok AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < 960
+WITH q AS (SELECT *, {ET.format("received_us")} AS et, {ET.format("source_us")} AS st, event_id % 9 <> 0 AS ok FROM quotes_dense),
+r AS (SELECT *, hour(st) * 60 + minute(st) AS m FROM q
+      WHERE ok AND hour(et) * 60 + minute(et) >= 570 AND hour(et) * 60 + minute(et) < CASE
+          WHEN month(et) = 7 AND day(et) = 3 AND isodow(et) < 5 OR month(et) = 11 AND isodow(et) = 5 AND day(et) BETWEEN 23 AND 29
+            OR month(et) = 12 AND day(et) = 24 AND isodow(et) < 6 THEN 780 ELSE 960 END
         AND strftime(et, '%Y-%m-%d') IN (SELECT session FROM sessions)),
-c AS (SELECT symbol, session, count(DISTINCT m) FILTER (m < 575) = 5 AND max(m) >= 575 AS covered FROM r GROUP BY ALL)
-SELECT symbol, session, CASE WHEN covered IS NULL THEN 'candidate:no_samples' WHEN NOT covered THEN 'candidate:opening_gap' END AS reason
-FROM (SELECT DISTINCT symbol, session FROM q) LEFT JOIN c USING (symbol, session)
+c AS (SELECT symbol, session, count(DISTINCT m) FILTER (m BETWEEN 570 AND 574) = 5 AND max(m) >= 575 AS covered FROM r GROUP BY ALL),
+v AS (SELECT * FROM r WHERE isfinite(price) AND isfinite(bid) AND isfinite(ask) AND least(price, bid, ask) > 0 AND volume >= 0 AND ask >= bid
+      QUALIFY row_number() OVER (PARTITION BY symbol, session, received_us ORDER BY price DESC, event_id DESC, user_id DESC, volume DESC) = 1),
+d AS (SELECT *, CAST(CASE WHEN volume >= lag(volume) OVER w THEN volume - lag(volume) OVER w ELSE volume END AS DOUBLE) AS delta,
+             price / lag(price) OVER w - 1 AS ret
+      FROM v WINDOW w AS (PARTITION BY symbol, session ORDER BY received_us)),
+f AS (SELECT symbol, session, received_us, delta,
+             avg(delta) OVER (PARTITION BY symbol, session ORDER BY received_us ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prior,
+             count(ret) OVER (PARTITION BY symbol, session ORDER BY received_us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS returns,
+             sum(price * delta) OVER (PARTITION BY symbol, session) AS traded, sum(delta) OVER (PARTITION BY symbol, session) AS total,
+             count_if(m BETWEEN 570 AND 574) OVER (PARTITION BY symbol, session) AS opening
+      FROM d),
+l AS (SELECT symbol, session, coalesce(returns = 5 AND prior > 0 AND isfinite(delta / prior) AND total > 0 AND isfinite(traded / total)
+             AND opening > 0, FALSE) AS complete
+      FROM f QUALIFY row_number() OVER (PARTITION BY symbol, session ORDER BY received_us DESC) = 1)
+SELECT symbol, session, CASE WHEN complete IS NULL THEN 'candidate:no_samples' WHEN NOT coalesce(covered, FALSE) THEN 'candidate:opening_gap'
+  WHEN NOT complete THEN 'candidate:features_missing' END AS reason
+FROM (SELECT DISTINCT symbol, session FROM q) LEFT JOIN c USING (symbol, session) LEFT JOIN l USING (symbol, session)
 """,
     "quotes_dense",
     "sessions",
