@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from tidemark.operators.universe import content_digest
 
 
-def stored_digests(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+def stored_digests(table: DataFrame, columns: Sequence[str], name: str | None = None) -> DataFrame:
     """Row count and content digest per data file of a file-backed table.
 
-    Rows are hashed where they are read and combined per file; no file is loaded whole.
+    Rows are hashed where they are read and combined per file; no file is loaded whole. With a
+    `name`, the table is one entry of that name, whatever number of files holds it.
     """
+    if name is not None:
+        files = table.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        total = files.groupBy("path").agg(F.max("bytes").alias("bytes")).agg(F.sum("bytes"))
+        digest = content_digest(table.select(*columns), columns)
+        return digest.withColumns({"file": F.lit(name), "bytes": total.scalar()})
     located = table.select(
         *columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")
     )
