@@ -49,6 +49,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(shingles)).tobytes(), "big", signed=True)
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of unsigned 64-bit shingle hashes as a signed long; none give 0."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), RUN):
+        run = hashes[start : start + RUN].astype(">u8")
+        counts += np.unpackbits(run.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(df: DataFrame, width: int = 3) -> DataFrame:
     """Rows (doc_id, text_key, fp): fp is the fingerprint as a signed long.
 
