@@ -78,3 +78,25 @@ def test_held_out_accuracy(spark):
     rows = [row for row in quality_classifier.result(docs, labels).collect() if row.held_out]
     right = sum(row.predicted == truth[row.doc_id] for row in rows) / len(rows)
     assert right > 0.97
+
+
+def test_word_shares_take_one_expression_for_all_words(spark):
+    text = "The de la que der und, THE of-of e; on une für " * 12
+    docs = documents(spark, [(1, text), (2, None)])
+    measured = quality_rules.measured(docs)
+    plain = [w for w in __import__("re").split(r"[\W\d_]+", text.lower()) if w]
+
+    def distance(language):
+        refs = quality_rules.word_shares(language)
+        p = [plain.count(word) / len(text.split()) for word in refs]
+        pairs = zip([*p, max(0.0, 1 - sum(p))], [*refs.values(), 1 - sum(refs.values())])
+        halves = sum(x * np.log2(2 * x / (a + b)) for a, b in pairs for x in (a, b) if x > 0)
+        return np.sqrt(halves / 2)
+
+    got = {row.row.doc_id: row for row in measured.collect()}
+    assert abs(got[1].word_distance - min(map(distance, quality_rules.COMMON_WORDS))) < 1e-9 and got[2].n_words == 0
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        assert measured._jdf.queryExecution().optimizedPlan().toString().count("replace(") < 20
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")

@@ -42,6 +42,7 @@ CLASS_SHARES = {
 BLANK = r"[ \t-\r]"
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[.,;:!?'\"()-]"
+COUNTED = r"[^\p{Lu}0-9.,;:!?'\"()\-#*$%&|<>]+"
 WINDOW = 5
 
 
@@ -63,7 +64,8 @@ def distance(shares: Column, reference: list[float]) -> Column:
     terms = F.zip_with(
         shares,
         F.array(*[F.lit(float(value)) for value in reference]),
-        lambda a, b: half(a, a + b) + half(b, a + b),
+        # A share of zero leaves the reference's own term, b * log2(2), which is b.
+        lambda a, b: F.when(a > 0, half(a, a + b) + half(b, a + b)).otherwise(b),
     )
     total = F.aggregate(terms, F.lit(0.0), lambda sum_, term: sum_ + term)
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
@@ -78,6 +80,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.array_remove(F.split("t", BLANK + "+"), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^ \t-\r]")).alias("lines"),
         F.split(F.lower("t"), r"[^\p{L}]+").alias("plain"),
+        # Characters of no counted class go in one pass; the classes are counted in what is left.
+        F.regexp_replace("t", COUNTED, "").alias("few"),
     )
     common = sorted({word for words in COMMON_WORDS.values() for word in words.split()})
     counted = parts.select(
@@ -86,14 +90,18 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "w",
         F.size("w").alias("n"),
         F.length(F.array_join("w", "")).alias("word_chars"),
-        removed(F.col("t"), SYMBOLS).alias("n_symbols"),
+        F.col("few"),
+        removed(F.col("few"), SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.concat(F.lit(" "), F.array_join(F.filter("plain", lambda word: word.isin(common)), "  "), F.lit(" ")).alias("hits"),
+        F.filter("plain", lambda word: word.isin(common)).alias("hits"),
+        F.transform("w", lambda word: F.xxhash64(word)).alias("h"),
+    ).withColumn(
+        "hashes",
         F.expr(
-            f"""CASE WHEN size(w) >= {WINDOW} THEN transform(sequence(0, size(w) - {WINDOW}),
-                i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))
+            f"""CASE WHEN size(h) >= {WINDOW} THEN transform(sequence(0, size(h) - {WINDOW}),
+                i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))
                 ELSE CAST(array() AS array<bigint>) END"""
-        ).alias("hashes"),
+        ),
     )
     # Equal windows have equal hashes; only texts with equal hashes compare the words.
     keyed = counted.withColumn(
@@ -104,7 +112,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
                 i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS words, i AS at)))
                 END"""
         ),
-    ).drop("hashes")
+    ).drop("h", "hashes")
     starts = keyed.withColumn(
         "starts",
         F.expr(
@@ -120,25 +128,22 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             ELSE 0 END"""
     )
     chars = F.greatest(F.length("t"), F.lit(1))
-    classes = [removed(F.col("t"), r"\p{Lu}"), removed(F.col("t"), "[0-9]"), removed(F.col("t"), MARKS), F.col("n_symbols"), F.length("t") - F.col("word_chars")]
-    shared = starts.withColumn("classes", F.array(*[(value / chars).cast("double") for value in classes])).withColumn(
-        "counts",
-        F.create_map(
-            *[
-                part
-                for word in common
-                for part in (
-                    F.lit(word),
-                    (F.length("hits") - F.length(F.replace(F.col("hits"), F.lit(f" {word} "), F.lit("")))) / F.lit(len(word) + 2),
-                )
-            ]
-        ),
+    classes = [removed(F.col("few"), r"\p{Lu}"), removed(F.col("few"), "[0-9]"), removed(F.col("few"), MARKS), F.col("n_symbols"), F.length("t") - F.col("word_chars")]
+    # How often the listed words that occur do so; one expression in place of one for each word.
+    each = F.array_distinct("hits")
+    line = F.concat(F.lit(" "), F.array_join("hits", "  "), F.lit(" "))
+    shared = (
+        starts.withColumn("classes", F.array(*[(value / chars).cast("double") for value in classes]))
+        .withColumn("line", line)
+        .withColumn("each", each)
+        .withColumn("counts", F.map_from_arrays("each", F.transform("each", _times)))
     )
     # Common words as shares by language, the last share being all other words.
     words = F.greatest(F.col("n"), F.lit(1))
     for language in COMMON_WORDS:
-        listed = [F.col("counts")[word] / words for word in COMMON_WORDS[language].split()]
-        shared = shared.withColumn(f"words_{language}", F.array(*listed))
+        listed = F.array(*[F.lit(word) for word in COMMON_WORDS[language].split()])
+        share = lambda word: F.coalesce(F.try_element_at("counts", word), F.lit(0.0)) / words
+        shared = shared.withColumn(f"words_{language}", F.transform(listed, share))
     return shared.select(
         "row",
         F.col("n").cast("long").alias("n_words"),
@@ -152,6 +157,12 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _times(word: Column) -> Column:
+    """How often a word stands in `line`, where every word has a space on both sides."""
+    spaced = F.concat(F.lit(" "), word, F.lit(" "))
+    return (F.length("line") - F.length(F.replace(F.col("line"), spaced, F.lit("")))) / F.length(spaced)
+
+
 def _listed(name: str) -> Column:
     """The share of all words that a language's listed words make."""
     return F.aggregate(name, F.lit(0.0), lambda total, share: total + share)
